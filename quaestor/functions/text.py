@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import lexicon
 
-NULL_STRING = F.lit(None).cast("string")
-
 
 def clean_whitespace(c: Column) -> Column:
     """Runs of white space become one space, ends are stripped; null gives ''."""

@@ -1,6 +1,669 @@
-def queries():
-    return {}
+"""The registered queries with the SQL that says the same.
 
+Arrays leave as joined text and scores are rounded, so results compare by value.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quaestor.functions import lexicon, nested, text, vector
+from quaestor.operators import paging
+from quaestor.operators.predicates import after_key, where_all
+from quaestor.plans import api, enrich, ingest, jobs
+from quaestor.plans.api import Catalog
+from quaestor.sources import web
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+PERSON, CAMPUS, OTHER_PERSON = 100000007, "710001", 100000159
+NOW = datetime(2026, 1, 1)
+SINCE = datetime(2025, 6, 1)
+
+#: Pieces of SQL that several queries share.
+PUBS = "(SELECT * EXCLUDE (n_) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS n_ FROM publications) WHERE n_ = 1)"
+LINKS = "(SELECT DISTINCT person_id, publication_id AS id FROM authorships WHERE person_id IS NOT NULL)"
+TEACH = r"(преподавател|доцент|профессор|ассистент|научный сотрудник|научный руководител|академическ[\p{L}\p{N}_]+ руководител|заведующий кафедр)"
+TEACHES = f"coalesce(len(list_filter(positions, lambda p: coalesce(regexp_matches(lower(p.title), '{TEACH}'), false))) > 0, false)"
+USABLE = "embedding IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+WS = r"[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"
+
+
+def strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def clean(c: str) -> str:
+    return rf"trim(regexp_replace(coalesce({c}, ''), '{WS}+', ' ', 'g'))"
+
+
+def trigrams(c: str) -> str:
+    words = rf"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def similarity(a: str, b: str) -> str:
+    x, y = trigrams(a), trigrams(b)
+    return f"round(CASE WHEN len(list_distinct(list_concat({x}, {y}))) > 0 THEN len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) ELSE 0 END, 6)"
+
+
+def cosine(query: str) -> str:
+    return f"round(list_cosine_similarity(embedding::DOUBLE[], ({query})::DOUBLE[]), 6)"
+
+
+def query(sql: str | None = None):
+    """Registers a function of a Catalog under its name, with its SQL if there is any."""
+
+    def add(f: Callable[[Catalog], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, d: f(Catalog(spark, d))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def joined(c, glue: str = "|"):
+    return F.array_join(c, glue)
+
+
+# --- people ----------------------------------------------------------------------
+
+
+@query(f"""SELECT person_id, full_name, campus_name, publications_total FROM persons LEFT JOIN campuses USING (campus_id)
+    WHERE campus_id = '{CAMPUS}' AND publications_total > 0 ORDER BY publications_total DESC NULLS FIRST, person_id LIMIT 20""")
+def persons_list(c):
+    return api.list_persons(c, ordering="-publications_total", campus_id=CAMPUS, has_pubs=True).rows.select("person_id", "full_name", "campus_name", "publications_total")
+
+
+@query("""SELECT person_id, full_name FROM persons ORDER BY full_name ASC NULLS LAST, person_id LIMIT 20 OFFSET 20""")
+def persons_page_two(c):
+    return paging.page_of(c.persons.select("person_id", "full_name"), paging.ordering(paging.PERSON_ORDERINGS, "full_name", "person_id"), 2, 20)
+
+
+@query("SELECT person_id, full_name FROM persons WHERE full_name ILIKE '%ова %'")
+def persons_ilike(c):
+    return c.persons.where(text.contains_ci(F.col("full_name"), "ова ")).select("person_id", "full_name")
+
+
+@query("SELECT publications_total > 0 AS has_publications, count(*) AS n FROM persons GROUP BY 1")
+def persons_has_publications(c):
+    return c.persons.groupBy((F.col("publications_total") > 0).alias("has_publications")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT person_id FROM persons WHERE coalesce(list_contains(languages, 'немецкий'), false)")
+def language_contains(c):
+    return c.persons.where(nested.has_language(F.col("languages"), "немецкий")).select("person_id")
+
+
+@query("SELECT person_id, campus_id, campus_name FROM persons LEFT JOIN campuses USING (campus_id)")
+def campus_left_join(c):
+    return api.with_campus(c.persons.select("person_id", "campus_id"), c.campuses).select("person_id", "campus_id", "campus_name")
+
+
+@query("SELECT campus_id, campus_name FROM campuses ORDER BY campus_name")
+def campuses_list(c):
+    return c.campuses.orderBy("campus_name")
+
+
+@query("SELECT campus_id FROM campuses WHERE campus_name ILIKE '%кампус%' ORDER BY campus_id LIMIT 1")
+def campus_resolve(c):
+    return c.campuses.where(text.contains_ci(F.col("campus_name"), "кампус")).orderBy("campus_id").limit(1).select("campus_id")
+
+
+@query(f"""SELECT person_id, full_name, campus_name, len(languages) AS n_languages, substr(full_name, 1, 1) AS initial,
+    array_to_string(list_sort(list_transform(map_entries(research_ids), lambda e: e.key || '=' || e.value)), '|') AS research
+    FROM persons LEFT JOIN campuses USING (campus_id) WHERE person_id = {PERSON}""")
+def person_card(c):
+    got = api.person_card(c, PERSON)
+    return got.select("person_id", "full_name", "campus_name", "n_languages", "initial", joined(F.array_sort(F.transform(F.map_entries("research_ids"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))).alias("research"))
+
+
+@query("""SELECT primary_unit, count(*) AS n FROM persons WHERE primary_unit IS NOT NULL AND embedding IS NOT NULL GROUP BY 1 HAVING count(*) >= 8 ORDER BY n DESC, primary_unit""")
+def unit_facet_having(c):
+    return api.unit_facet(c, 8)
+
+
+@query(f"SELECT person_id FROM persons WHERE {TEACHES}")
+def nested_title_regex(c):
+    return c.persons.where(nested.teaches(F.col("positions"))).select("person_id")
+
+
+@query("SELECT person_id FROM persons WHERE coalesce(len(list_filter(positions, lambda p: coalesce(len(list_filter(p.units, lambda u: coalesce(lower(u.name) LIKE '%сетей%', false))) > 0, false))) > 0, false)")
+def nested_unit_like(c):
+    return c.persons.where(nested.works_in(F.col("positions"), "сетей")).select("person_id")
+
+
+_UNITS = f"list_filter(list_transform(flatten(list_filter(list_transform(positions, lambda p: p.units), lambda u: u IS NOT NULL)), lambda u: {strip('u.name')}), lambda n: n IS NOT NULL AND n <> '')"
+
+
+@query(f"""WITH u AS (SELECT person_id, unnest({_UNITS}) AS name, generate_subscripts({_UNITS}, 1) AS i, {strip("coalesce(primary_unit, '')")} AS own FROM persons)
+    SELECT person_id, string_agg(name, '|' ORDER BY i) AS units FROM (SELECT person_id, name, min(i) AS i FROM u WHERE name <> own GROUP BY 1, 2) GROUP BY 1""")
+def extra_units(c):
+    return c.persons.select("person_id", joined(nested.extra_units(F.col("positions"), F.col("primary_unit"))).alias("units")).where("units <> ''")
+
+
+@query("SELECT person_id, positions[1].units[1].name AS unit FROM persons")
+def primary_unit_of_positions(c):
+    return c.persons.select("person_id", nested.primary_unit(F.col("positions")).alias("unit"))
+
+
+def _hits(c: str) -> str:
+    return f"list_filter(coalesce({c}, []), lambda t: coalesce(contains(lower(t), 'рынок') OR contains(lower(t), 'культур'), false))"
+
+
+_FRESH = f"list_filter({_hits('interests_extracted')}, lambda t: len(list_filter({_hits('interests')}, lambda r: contains(lower(r), lower(t)) OR contains(lower(t), lower(r)))) = 0)"
+
+
+@query(f"""SELECT person_id, array_to_string(CASE WHEN len({_hits('interests')}) >= 3 THEN {_hits('interests')}[1:6] ELSE list_concat({_hits('interests')}, {_FRESH})[1:6] END, '|') AS topics FROM persons""")
+def matched_topics(c):
+    return c.persons.select("person_id", joined(nested.matched_topics("рынок культур на", F.col("interests"), F.col("interests_extracted"))).alias("topics"))
+
+
+@query("SELECT person_id, len(languages) AS n_languages, len(positions) AS n_positions, len(interests[1:6]) AS shown, greatest(len(interests) - 6, 0) AS more FROM persons")
+def profile_tiles(c):
+    n = F.size("interests")
+    return c.persons.select("person_id", F.size("languages").alias("n_languages"), F.size("positions").alias("n_positions"), F.size(F.slice("interests", 1, 6)).alias("shown"), F.greatest(n - 6, F.lit(0)).alias("more"))
+
+
+@query("""SELECT person_id, array_to_string(list_filter(list_transform(flatten(list_transform(positions, lambda p: p.units)), lambda u: u.name), lambda n: n IS NOT NULL), ', ') AS names FROM persons WHERE len(positions) > 0""")
+def position_unit_names(c):
+    names = F.filter(F.transform(F.flatten(F.transform("positions", lambda p: p["units"])), lambda u: u["name"]), lambda n: n.isNotNull())
+    return c.persons.where(F.size("positions") > 0).select("person_id", joined(names, ", ").alias("names"))
+
+
+@query("""SELECT person_id, TRY_CAST(nullif(regexp_extract(profile_url, '/(?:staff|org/persons)/(\\d+)', 1), '') AS BIGINT)::VARCHAR AS from_url, TRY_CAST(nullif(regexp_extract(profile_url, '/(\\d+)$', 1), '') AS BIGINT)::VARCHAR AS tail FROM persons""")
+def url_person_id(c):
+    return c.persons.select("person_id", text.person_id_from_url(F.col("profile_url")).cast("string").alias("from_url"), text.numeric_tail(F.col("profile_url")).cast("string").alias("tail"))
+
+
+@query("""SELECT href, CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '/%' THEN 'https://portal.example.org' || href ELSE 'https://portal.example.org/' || href END AS url,
+    TRY_CAST(nullif(regexp_extract(href, '/org/persons/(\\d+)', 1), '') AS BIGINT) AS person_id FROM (SELECT DISTINCT href FROM authorships WHERE href <> '')""")
+def absolute_links(c):
+    h = F.col("href")
+    return c.authorships.select("href").where("href <> ''").distinct().select("href", text.absolutize(h, "https://portal.example.org").alias("url"), text.supervisor_id_from_url(h).alias("person_id"))
+
+
+@query(f"SELECT person_id, {clean('full_name')} AS cleaned FROM persons")
+def clean_names(c):
+    return c.persons.select("person_id", text.clean_whitespace(F.col("full_name")).alias("cleaned"))
+
+
+@query("""SELECT title, position FROM (SELECT DISTINCT unnest(positions).title AS title FROM persons), unnest(list_filter(list_transform(string_split(regexp_replace(title, ':*,*\\s*$', ''), ','), lambda x: trim(x)), lambda x: x <> '')) AS t(position)""")
+def position_titles(c):
+    titles = c.persons.select(F.explode("positions").alias("p")).select("p.title").distinct()
+    return titles.select("title", F.explode(text.position_titles(F.col("title"))).alias("position")).where("title is not null")
+
+
+@query(f"""SELECT primary_unit, CASE WHEN lower(t) IN ('ниу вшэ', 'вшэ', 'ниу', '') THEN '' ELSE t END AS topic FROM
+    (SELECT DISTINCT primary_unit, trim(regexp_replace(trim(coalesce(primary_unit, '')), '^(?:{lexicon.UNIT_KINDS})\\s+', '', 'i')) AS t FROM persons)""")
+def topical_units(c):
+    return c.persons.select("primary_unit").distinct().select("primary_unit", text.topical_unit(F.col("primary_unit")).alias("topic"))
+
+
+@query("SELECT person_id, full_name FROM persons WHERE person_id > 100000159 ORDER BY person_id LIMIT 25")
+def keyset_page(c):
+    return after_key(c.persons.select("person_id", "full_name"), "person_id", OTHER_PERSON, 25)
+
+
+@query("SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::BIGINT AS last_page FROM persons WHERE publications_total > 0")
+def pagination_totals(c):
+    return where_all(c.persons, [F.col("publications_total") > 0]).agg(F.count("*").alias("total")).withColumn("last_page", F.greatest(F.lit(1), F.ceil(F.col("total") / 20.0)))
+
+
+# --- publications ----------------------------------------------------------------
+
+
+@query(f"""SELECT id, title, type, year FROM {PUBS} WHERE title ILIKE '%рын%' AND year >= 2010 AND year <= 2024 AND type = 'ARTICLE'
+    ORDER BY created_at DESC NULLS FIRST, id LIMIT 20""")
+def publications_list(c):
+    return api.list_publications(c, q="рын", year_from=2010, year_to=2024, type="ARTICLE").rows.select("id", "title", "type", "year")
+
+
+@query(f"SELECT year, count(*) AS n FROM {PUBS} WHERE year BETWEEN 2000 AND 2025 GROUP BY 1")
+def publications_year_range(c):
+    return c.pubs("year").where(F.col("year").between(2000, 2025)).groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, year FROM {PUBS} ORDER BY year DESC NULLS FIRST, id LIMIT 50")
+def publications_order_nulls(c):
+    return paging.page_of(c.pubs("year"), paging.ordering(paging.PUBLICATION_ORDERINGS, "-year", "id"), 1, 50)
+
+
+@query(f"""SELECT id, title, type, year FROM {PUBS} WHERE id IN (SELECT publication_id FROM authorships WHERE person_id = {PERSON}) AND year >= 2015
+    ORDER BY year DESC NULLS LAST, id LIMIT 20""")
+def person_publications_semi(c):
+    return api.list_person_publications(c, PERSON, year_from=2015).rows
+
+
+@query(f"SELECT id, title FROM {PUBS} WHERE title ILIKE '%как %рын_к%'")
+def publications_wildcards(c):
+    return c.pubs("title").where(text.contains_ci(F.col("title"), "как %рын_к"))
+
+
+@query(f"SELECT id, title FROM {PUBS} WHERE contains(title, '_') OR contains(title, '%')")
+def publications_escaped(c):
+    t = F.col("title")
+    return c.pubs("title").where(text.contains_ci(t, "_", escape=True) | text.contains_ci(t, "%", escape=True))
+
+
+@query("""SELECT publication_id AS id, string_agg(coalesce(display_name, ''), '|' ORDER BY position, coalesce(person_id, -1), coalesce(display_name, '')) AS names, count(*) AS n FROM (SELECT DISTINCT publication_id, position, person_id, display_name FROM authorships) GROUP BY 1""")
+def authors_ordered_list(c):
+    a = c.authorships.select("publication_id", "position", F.coalesce("person_id", F.lit(-1)).alias("p"), F.coalesce("display_name", F.lit("")).alias("name")).distinct()
+    per = a.groupBy(F.col("publication_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "p", "name"))).alias("a"))
+    return per.select("id", joined(F.transform("a", lambda x: x["name"])).alias("names"), F.size("a").cast("long").alias("n"))
+
+
+@query(f"""SELECT person_id, id, year, rank FROM (SELECT l.person_id, p.id, p.year, row_number() OVER (PARTITION BY l.person_id ORDER BY p.year DESC NULLS LAST, p.id) AS rank FROM {LINKS} l JOIN {PUBS} p USING (id)) WHERE rank <= 3""")
+def top3_publications_per_person(c):
+    return api.top_publications(c, c.links().select("person_id").distinct(), 3).select("person_id", "id", "year", "rank")
+
+
+@query(f"SELECT id, title FROM {PUBS} WHERE created_at >= TIMESTAMPTZ '2025-06-01 00:00:00+00' ORDER BY created_at DESC, id LIMIT 20")
+def news_feed_since(c):
+    return api.news(c, SINCE).orderBy(*api.news_order()).limit(20).select("id", "title")
+
+
+@query(f"""SELECT id, string_agg(DISTINCT person_id::VARCHAR, ',' ORDER BY person_id::VARCHAR) AS person_ids FROM (SELECT n.id, a.person_id FROM
+    (SELECT id FROM {PUBS} WHERE created_at IS NOT NULL ORDER BY created_at DESC, id LIMIT 50) n JOIN authorships a ON a.publication_id = n.id WHERE a.person_id IS NOT NULL) GROUP BY 1""")
+def news_person_ids(c):
+    top = api.news(c).orderBy(*api.news_order()).limit(50).select("id")
+    return c.links().join(top, "id").groupBy("id").agg(joined(F.sort_array(F.collect_set(F.col("person_id").cast("string"))), ",").alias("person_ids"))
+
+
+@query(f"""SELECT id, coalesce(json_extract_string(raw, '$.status') = '2', false) OR coalesce(year > 2026, false) AS forthcoming FROM {PUBS}""")
+def json_status_forthcoming(c):
+    return c.pubs("raw", "year").select("id", api.forthcoming(F.col("raw"), F.col("year"), NOW).alias("forthcoming"))
+
+
+@query(f"""SELECT id, concat_ws(chr(10) || chr(10), nullif({strip('title')}, ''), coalesce(nullif(abstract_ru, ''), nullif(abstract_en, '')), nullif(venue, '')) AS context FROM {PUBS}""")
+def publication_context(c):
+    p = c.pubs("title", "abstract_ru", "abstract_en", "venue")
+    return p.select("id", enrich.publication_context(F.col("title"), F.col("abstract_ru"), F.col("abstract_en"), F.col("venue")).alias("context"))
+
+
+_CYR, _LAT = "len(regexp_extract_all({0}, '[А-Яа-яЁё]'))", "len(regexp_extract_all({0}, '[A-Za-z]'))"
+
+
+@query(f"""SELECT id, CASE WHEN c + l = 0 THEN 'ru' WHEN c::DOUBLE / (c + l) > 0.8 THEN 'ru' WHEN c::DOUBLE / (c + l) < 0.2 THEN 'en' ELSE 'mixed' END AS lang FROM
+    (SELECT id, {_CYR.format('title')} AS c, {_LAT.format('title')} AS l FROM {PUBS} WHERE title IS NOT NULL)""")
+def detect_lang(c):
+    return c.pubs("title").where("title is not null").select("id", text.script_language(F.col("title")).alias("lang"))
+
+
+@query(f"SELECT type, count(*) AS n FROM {PUBS} GROUP BY 1")
+def publication_types(c):
+    return c.pubs("type").groupBy(ingest.publication_type(F.col("type")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT p.id, p.title, (SELECT count(*) FROM (SELECT DISTINCT * FROM authorships) a WHERE a.publication_id = p.id) AS n_authors FROM {PUBS} p WHERE p.id = '200000077'""")
+def publication_card(c):
+    return api.publication_card(c, "200000077").select("id", "title", F.size("authors").cast("long").alias("n_authors"))
+
+
+@query(f"""SELECT id, e.display_name, e.position FROM (SELECT id, unnest(editors) AS e FROM {PUBS})""")
+def editors_of_publications(c):
+    return c.pubs("editors").select("id", F.explode("editors").alias("e")).select("id", "e.display_name", "e.position")
+
+
+@query("""SELECT id, max(CASE WHEN json_type(raw, '$.year') IN ('BIGINT', 'UBIGINT') THEN json_extract(raw, '$.year')::INT END) AS year, max(json_extract_string(raw, '$.documents.DOI.href')) AS doi FROM publications GROUP BY 1""")
+def publications_from_json(c):
+    got = ingest.publications_from_json(c.publications.select("raw"))
+    return got.groupBy("id").agg(F.max("year").alias("year"), F.max("doi_url").alias("doi"))
+
+
+@query("""WITH p AS (SELECT id, ingested_at, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS n FROM publications) SELECT id, epoch_us(ingested_at) AS at FROM p WHERE n = 1""")
+def last_ingested(c):
+    return ingest.last_per_key(c.publications.select("id", "ingested_at"), ["id"], F.col("ingested_at")).select("id", F.unix_micros("ingested_at").alias("at"))
+
+
+@query(f"""SELECT id, array_to_string(list_transform(authors[1:5], lambda a: a), '|') AS shown, greatest(len(authors) - 5, 0) AS more FROM
+    (SELECT publication_id AS id, list(display_name ORDER BY position, coalesce(person_id, -1), display_name) AS authors FROM (SELECT DISTINCT publication_id, position, person_id, coalesce(display_name, '') AS display_name FROM authorships) GROUP BY 1)""")
+def author_cards(c):
+    a = c.authorships.select("publication_id", "position", F.coalesce("person_id", F.lit(-1)).alias("p"), F.coalesce("display_name", F.lit("")).alias("display_name")).distinct()
+    per = a.groupBy(F.col("publication_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "p", "display_name"))).alias("authors"))
+    shown, more = api.author_card(F.col("authors"))
+    return per.select("id", joined(shown).alias("shown"), more.alias("more"))
+
+
+# --- search ----------------------------------------------------------------------
+
+Q = "цифровой рынок"
+
+
+@query(f"""SELECT id, title, {similarity('title', "'цифровой рынок'")} AS score FROM (SELECT DISTINCT id, title, year FROM publications WHERE title ILIKE '%рынок%') ORDER BY score DESC, year DESC NULLS LAST, id LIMIT 20""")
+def trigram_search(c):
+    rows = c.publications.where(text.contains_ci(F.col("title"), "рынок")).select("id", "title", "year").distinct()
+    scored = rows.withColumn("score", F.round(text.trigram_similarity(F.col("title"), F.lit(Q)), 6))
+    return scored.orderBy(F.col("score").desc(), *api.newest_first()).limit(20).select("id", "title", "score")
+
+
+@query(f"""SELECT person_id, {similarity('full_name', "'Словчеров Егор'")} AS score FROM persons""")
+def trigram_persons(c):
+    return c.persons.select("person_id", F.round(text.trigram_similarity(F.col("full_name"), F.lit("Словчеров Егор")), 6).alias("score"))
+
+
+_PERSON_HITS = f"SELECT 0 AS r, 'person' AS kind, person_id::VARCHAR AS key, full_name AS label, {similarity('full_name', chr(39) + 'ре' + chr(39))} AS score, publications_total AS total, NULL::INT AS year FROM persons WHERE full_name ILIKE '%ре%'"
+_PUB_HITS = f"SELECT 1 AS r, 'publication' AS kind, id AS key, title AS label, {similarity('title', chr(39) + 'ре' + chr(39))} AS score, 0 AS total, year FROM (SELECT DISTINCT id, title, year FROM publications WHERE title ILIKE '%ре%')"
+
+
+@query(f"""WITH h AS ({_PERSON_HITS} UNION ALL {_PUB_HITS}) SELECT kind, key, label, score FROM h
+    ORDER BY r, score DESC, CASE WHEN r = 0 THEN -total END, CASE WHEN r = 0 THEN label END, year DESC NULLS LAST, key LIMIT 20 OFFSET 20""")
+def unified_search_page(c):
+    return api.search(c, "ре", page=2).select("kind", "key", "label", "score")
+
+
+@query("""SELECT (SELECT count(*) FROM persons WHERE full_name ILIKE '%ре%') AS persons, (SELECT count(*) FROM (SELECT DISTINCT id, title, year FROM publications WHERE title ILIKE '%ре%')) AS publications,
+    (SELECT count(*) FROM persons WHERE full_name ILIKE '%ре%') + (SELECT count(*) FROM (SELECT DISTINCT id, title, year FROM publications WHERE title ILIKE '%ре%')) AS total""")
+def search_totals(c):
+    return api.search_totals(c, "ре")
+
+
+@query("""SELECT c.id, c.title, p.full_name AS person_name FROM courses c JOIN persons p USING (person_id) WHERE c.title ILIKE '%эконом%' AND c.language = 'ru' ORDER BY c.id DESC LIMIT 50""")
+def courses_search_join(c):
+    return api.search_courses(c, "эконом", None, "ru").orderBy(F.col("id").desc()).limit(50).select("id", "title", "person_name")
+
+
+@query(f"""SELECT person_id, full_name FROM persons WHERE full_name ILIKE '%ов%' ORDER BY publications_total DESC NULLS LAST, full_name, person_id LIMIT 5""")
+def home_name_hits(c):
+    return api.home(c, "ов")["names"].select("person_id", "full_name")
+
+
+@query(f"""SELECT id, title, NULL::DOUBLE AS score FROM {PUBS} WHERE title ILIKE '%рынок%' AND year >= 2015 ORDER BY year DESC NULLS LAST, id""")
+def lexical_fallback(c):
+    return api.publications_or_lexical(c, "рынок", None, year_from=2015).select("id", "title", "score")
+
+
+# --- vectors ---------------------------------------------------------------------
+
+_QV = f"SELECT embedding FROM persons WHERE person_id = (SELECT min(person_id) FROM persons WHERE {USABLE})"
+
+
+def _person_vector(c: Catalog) -> list[float]:
+    row = c.persons.where(vector.usable(F.col("embedding"))).orderBy("person_id").select("embedding").limit(1).head()
+    return list(row[0]) if row else [1.0] * lexicon.DIMENSIONS
+
+
+def _publication_vector(c: Catalog) -> list[float]:
+    row = c.publications.where(vector.usable(F.col("embedding"))).orderBy("id").select("embedding").limit(1).head()
+    return list(row[0]) if row else [1.0] * lexicon.DIMENSIONS
+
+
+@query(f"SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} ORDER BY score DESC, person_id LIMIT 20")
+def vector_topk(c):
+    return vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", vector.constant(_person_vector(c)), 20).select("person_id", "score")
+
+
+@query(f"SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} AND campus_id = '{CAMPUS}' AND publications_total > 0 ORDER BY score DESC, person_id LIMIT 20")
+def vector_topk_filtered(c):
+    rows = c.persons.where((F.col("campus_id") == CAMPUS) & (F.col("publications_total") > 0)).select("person_id", "embedding")
+    return vector.vector_top_k(rows, "person_id", "embedding", vector.constant(_person_vector(c)), 20).select("person_id", "score")
+
+
+@query(f"SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} ORDER BY score DESC, person_id LIMIT 10 OFFSET 10")
+def vector_topk_paged(c):
+    return vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", vector.constant(_person_vector(c)), 10, 10).select("person_id", "score")
+
+
+@query(f"""SELECT person_id, score, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.45 THEN 'medium' ELSE 'weak' END AS tier FROM
+    (SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} ORDER BY score DESC, person_id LIMIT 50) WHERE score >= 0.3""")
+def score_tiers(c):
+    top = vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", vector.constant(_person_vector(c)), 50)
+    return api.shown(top).select("person_id", "score", vector.score_tier(F.col("score")).alias("tier"))
+
+
+_PQV = f"SELECT any_value(embedding) FROM publications WHERE id = (SELECT min(id) FROM publications WHERE {USABLE})"
+
+
+@query(f"""SELECT id, {cosine(_PQV)} AS score FROM {PUBS} WHERE {USABLE} AND year >= 2010 AND type = 'ARTICLE' ORDER BY score DESC, id LIMIT 20""")
+def semantic_publications(c):
+    return api.semantic_publications(c, _publication_vector(c), 20, year_from=2010, type="ARTICLE").select("id", "score")
+
+
+@query(f"""WITH h AS (SELECT person_id, campus_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} AND {TEACHES} ORDER BY score DESC, person_id LIMIT 10),
+    r AS (SELECT l.person_id, p.id, row_number() OVER (PARTITION BY l.person_id ORDER BY p.year DESC NULLS LAST, p.id) AS n FROM {LINKS} l JOIN {PUBS} p USING (id) WHERE l.person_id IN (SELECT person_id FROM h)),
+    t AS (SELECT person_id, string_agg(id, '|' ORDER BY n) AS pubs FROM r WHERE n <= 3 GROUP BY 1)
+    SELECT h.person_id, campus_name, score, coalesce(pubs, '') AS pubs FROM h LEFT JOIN campuses USING (campus_id) LEFT JOIN t ON t.person_id = h.person_id""")
+def experts_search(c):
+    got = api.expert_hits(c, _person_vector(c), "рынок", limit=10)
+    return got.select("person_id", "campus_name", "score", F.coalesce(joined(F.transform("publications", lambda p: p["id"])), F.lit("")).alias("pubs"))
+
+
+# --- courses and theses ----------------------------------------------------------
+
+
+@query(f"SELECT id, title, academic_year FROM courses WHERE person_id = {OTHER_PERSON} ORDER BY academic_year DESC NULLS LAST, id LIMIT 20")
+def person_courses(c):
+    return api.list_person_courses(c, OTHER_PERSON).rows.select("id", "title", "academic_year")
+
+
+@query(f"""WITH r AS (SELECT person_id, {strip('title')} AS title, nullif(academic_year, '') AS y, nullif(level, '') AS l, nullif(language, '') AS g FROM courses)
+    SELECT person_id, title, count(DISTINCT y) AS times_taught, coalesce(max(y), '') AS latest_year, coalesce(string_agg(DISTINCT l, '|' ORDER BY l), '') AS levels, coalesce(string_agg(DISTINCT g, '|' ORDER BY g), '') AS languages,
+    coalesce(string_agg(DISTINCT y, '|' ORDER BY y DESC), '') AS years FROM r WHERE title <> '' GROUP BY 1, 2""")
+def course_rollup_by_title(c):
+    got = api.course_rollup(c.courses)
+    return got.select("person_id", "title", F.col("times_taught").cast("long"), "latest_year", joined("levels").alias("levels"), joined("languages").alias("languages"), joined("years").alias("years"))
+
+
+@query("SELECT person_id, count(DISTINCT title) AS n FROM courses GROUP BY 1")
+def distinct_courses_per_person(c):
+    return c.courses.groupBy("person_id").agg(F.countDistinct("title").alias("n"))
+
+
+@query("SELECT person_id, count(*) AS n FROM thesis_supervisors GROUP BY 1")
+def theses_per_person(c):
+    return c.thesis_supervisors.groupBy("person_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p.person_id, coalesce(c.n, 0) AS courses, coalesce(t.n, 0) AS theses FROM persons p
+    LEFT JOIN (SELECT person_id, count(DISTINCT title) AS n FROM courses GROUP BY 1) c USING (person_id) LEFT JOIN (SELECT person_id, count(*) AS n FROM thesis_supervisors GROUP BY 1) t USING (person_id)""")
+def card_stats(c):
+    return api.card_stats(c, c.persons)
+
+
+@query("SELECT person_id FROM persons WHERE person_id NOT IN (SELECT person_id FROM thesis_supervisors WHERE person_id IS NOT NULL)")
+def unsupervised_anti_join(c):
+    return c.persons.select("person_id").join(c.thesis_supervisors.select("person_id"), "person_id", "left_anti")
+
+
+@query("""SELECT person_id, thesis_id, n FROM (SELECT s.person_id, t.thesis_id, row_number() OVER (PARTITION BY s.person_id ORDER BY t.year DESC NULLS LAST, t.thesis_id) AS n
+    FROM (SELECT DISTINCT person_id, thesis_id FROM thesis_supervisors) s JOIN theses t USING (thesis_id)) WHERE n <= 50""")
+def top50_theses_per_person(c):
+    w = Window.partitionBy("person_id").orderBy(F.col("year").desc_nulls_last(), "thesis_id")
+    rows = c.thesis_supervisors.select("person_id", "thesis_id").distinct().join(c.theses.select("thesis_id", "year"), "thesis_id")
+    return rows.withColumn("n", F.row_number().over(w)).where("n <= 50").select("person_id", "thesis_id", "n")
+
+
+@query("SELECT thesis_id, title FROM theses WHERE title ILIKE '%рынок%'")
+def theses_ilike(c):
+    return c.theses.where(text.contains_ci(F.col("title"), "рынок")).select("thesis_id", "title")
+
+
+@query("SELECT DISTINCT thesis_id, person_id FROM thesis_supervisors WHERE person_id IN (SELECT person_id FROM persons)")
+def known_supervisors(c):
+    return c.thesis_supervisors.select("thesis_id", "person_id").distinct().join(c.persons.select("person_id"), "person_id", "left_semi").select("thesis_id", "person_id")
+
+
+@query("SELECT id, nullif(trim(split_part(raw_meta, ';', 1)), '') AS level FROM courses")
+def course_level_of_meta(c):
+    items = c.courses.select(F.col("id").alias("person_id"), "title", "url", "academic_year", "language", F.col("raw_meta").alias("meta"))
+    return ingest.courses_from_items(items).select(F.col("person_id").alias("id"), "level")
+
+
+@query("SELECT person_id, min(id) AS id, title FROM courses GROUP BY person_id, title")
+def first_seen_dedupe(c):
+    return c.courses.groupBy("person_id", "title").agg(F.min("id").alias("id"))
+
+
+_PCTX_TH = "(SELECT s.person_id, t.title, t.year, t.thesis_id, row_number() OVER (PARTITION BY s.person_id ORDER BY t.year DESC NULLS LAST, t.thesis_id) AS n FROM (SELECT DISTINCT person_id, thesis_id FROM thesis_supervisors) s JOIN theses t USING (thesis_id))"
+_PCTX_PB = f"(SELECT l.person_id, p.title, row_number() OVER (PARTITION BY l.person_id ORDER BY p.year DESC NULLS LAST, p.id) AS n FROM {LINKS} l JOIN {PUBS} p USING (id))"
+_PCTX_CO = "(SELECT person_id, title, row_number() OVER (PARTITION BY person_id ORDER BY academic_year DESC NULLS LAST, id) AS n FROM courses)"
+
+
+def _agg_titles(rows: str, limit: str, glue: str, distinct: bool) -> str:
+    inner = f"SELECT person_id, {strip('title')} AS t, n FROM {rows} {limit}"
+    if distinct:
+        inner = f"SELECT person_id, t, min(n) AS n FROM ({inner}) GROUP BY 1, 2"
+    return f"(SELECT person_id, string_agg(t, {glue} ORDER BY n) AS x FROM ({inner}) WHERE t <> '' GROUP BY 1)"
+
+
+@query(f"""SELECT p.person_id, substr(concat_ws(chr(10) || chr(10), p.full_name, nullif(CASE WHEN lower(u) IN ('ниу вшэ', 'вшэ', 'ниу', '') THEN '' ELSE u END, ''), i, a.x, b.x, c.x), 1, 5000) AS context
+    FROM (SELECT *, trim(regexp_replace(trim(coalesce(primary_unit, '')), '^(?:{lexicon.UNIT_KINDS})\\s+', '', 'i')) AS u,
+        nullif(array_to_string(list_filter(list_transform(interests, lambda x: {strip("coalesce(x, '')")}), lambda x: x <> ''), '; '), '') AS i FROM persons) p
+    LEFT JOIN {_agg_titles(_PCTX_TH, 'WHERE n <= 50', "'; '", True)} a USING (person_id) LEFT JOIN {_agg_titles(_PCTX_PB, 'WHERE n <= 30', "' '", False)} b USING (person_id)
+    LEFT JOIN {_agg_titles(_PCTX_CO, '', 'chr(10)', True)} c USING (person_id)""")
+def person_context(c):
+    return enrich.person_contexts(c.persons, c.publications, c.authorships, c.courses, c.theses, c.thesis_supervisors)
+
+
+# --- tags ------------------------------------------------------------------------
+
+
+@query(f"""SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM
+    (SELECT id, list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}-]+'), lambda x: len(x) > 1) AS w FROM {PUBS} WHERE title IS NOT NULL)) GROUP BY 1, 2""")
+def tag_ngrams(c):
+    words = F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}-]+"), lambda w: F.length(w) > 1)
+    rows = c.pubs("title").where("title is not null").select("id", words.alias("w"))
+    return rows.select("id", F.explode(text.word_ngrams(F.col("w"), 3)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT DISTINCT person_id, tag FROM (SELECT person_id, unnest(list_concat(interests_extracted, list_transform(interests_extracted, lambda x: split_part(x, ' ', 1)))) AS tag FROM persons))
+    SELECT person_id, tag FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.person_id = a.person_id AND b.tag <> a.tag AND contains(b.tag, a.tag))""")
+def tag_substring_dedupe(c):
+    tags = F.concat("interests_extracted", F.transform("interests_extracted", lambda x: F.split_part(x, F.lit(" "), F.lit(1))))
+    return c.persons.select("person_id", F.explode(text.without_substrings(tags)).alias("tag"))
+
+
+@query(f"""SELECT tag, replace(trim(regexp_replace(lower(tag), '^[[:punct:]«»“”‘’„–—•· ]+|[[:punct:]«»“”‘’„–—•· ]+$', '', 'g')), 'ё', 'е') AS normal FROM (SELECT DISTINCT unnest(topics) AS tag FROM publications)""")
+def tag_normal(c):
+    return c.publications.select(F.explode("topics").alias("tag")).distinct().select("tag", text.normal_tag(F.col("tag")).alias("normal"))
+
+
+@query("""SELECT s, (len(s) - len(translate(s, '0123456789 .,–—-/', '')))::DOUBLE / len(s) AS ratio FROM (SELECT DISTINCT citation AS s FROM publications WHERE len(citation) > 0 AND NOT regexp_matches(lower(citation), 'гг?'))""")
+def tag_numeric_ratio(c):
+    rows = c.publications.select(F.col("citation").alias("s")).where("length(s) > 0").where(~F.lower("s").rlike("гг?")).distinct()
+    return rows.select("s", text.numeric_ratio(F.col("s")).alias("ratio"))
+
+
+@query(f"""SELECT s, regexp_matches(s, '{"|".join(x for x in lexicon.ORGANISATION if len(x) >= 4)}') OR regexp_matches(' ' || regexp_replace(s, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ', ' ({"|".join(x for x in lexicon.ORGANISATION if len(x) < 4)}) ') AS org FROM (SELECT DISTINCT lower(primary_unit) AS s FROM persons WHERE primary_unit IS NOT NULL)""")
+def tag_organisations(c):
+    rows = c.persons.where("primary_unit is not null").select(F.lower("primary_unit").alias("s")).distinct()
+    return rows.select("s", text.names_organisation(F.col("s")).alias("org"))
+
+
+@query()
+def tags_filtered(c):
+    """Interests of people that survive the tag rules (no short SQL says this; tested on fixtures)."""
+    rows = c.persons.select("person_id", "full_name", F.explode(F.concat("interests", "interests_extracted")).alias("tag")).withColumn("k", F.struct("person_id", "full_name"))
+    return enrich.filter_tags(rows, "k", "tag", person_name="k.full_name").select("k.person_id", "tag").distinct()
+
+
+@query()
+def person_topics(c):
+    """Keyphrases of every person's context."""
+    ctx = enrich.person_contexts(c.persons, c.publications, c.authorships, c.courses, c.theses, c.thesis_supervisors)
+    return enrich.extract_topics(ctx, "person_id", "context").select("person_id", joined("tags").alias("tags"))
+
+
+@query()
+def publication_embeddings(c):
+    """Hashed embeddings of publication contexts: id and length of the vector."""
+    p = c.pubs("title", "abstract_ru", "abstract_en", "venue")
+    ctx = p.select("id", enrich.publication_context(F.col("title"), F.col("abstract_ru"), F.col("abstract_en"), F.col("venue")).alias("context"))
+    return ctx.select("id", enrich.embed(F.col("context")).alias("v")).select("id", F.round(vector.norm(F.col("v")), 3).alias("length"))
+
+
+# --- writes ----------------------------------------------------------------------
+
+_CUR = "(SELECT publication_id, position, any_value(person_id) AS person_id, any_value(display_name) AS display_name, any_value(display_name_en) AS display_name_en FROM (SELECT publication_id, position, max(person_id) AS person_id, max(display_name) AS display_name, max(display_name_en) AS display_name_en FROM authorships GROUP BY 1, 2) WHERE position <= 2 GROUP BY 1, 2)"
+_INC = "(SELECT publication_id, position, max(coalesce(person_id, 1)) AS person_id, max(display_name) || ' *' AS display_name, max(display_name_en) || ' *' AS display_name_en FROM authorships WHERE position >= 2 GROUP BY 1, 2)"
+
+
+@query(f"""SELECT coalesce(a.publication_id, b.publication_id) AS publication_id, coalesce(a.position, b.position) AS position, coalesce(a.person_id, k.person_id)::VARCHAR AS person_id,
+    CASE WHEN a.publication_id IS NOT NULL THEN a.display_name ELSE b.display_name END AS display_name, CASE WHEN b.publication_id IS NOT NULL THEN b.display_name_en ELSE a.display_name_en END AS display_name_en
+    FROM {_CUR} a FULL JOIN {_INC} b ON a.publication_id = b.publication_id AND a.position = b.position LEFT JOIN (SELECT person_id FROM persons) k ON k.person_id = b.person_id""")
+def upsert_authorships(c):
+    one = lambda rows, *cols: rows.groupBy("publication_id", "position").agg(*cols)
+    cur = one(c.authorships.where("position <= 2"), *[F.max(x).alias(x) for x in ("person_id", "display_name", "display_name_en")])
+    inc = one(c.authorships.where("position >= 2"), F.max(F.coalesce("person_id", F.lit(1))).alias("person_id"), F.concat(F.max("display_name"), F.lit(" *")).alias("display_name"), F.concat(F.max("display_name_en"), F.lit(" *")).alias("display_name_en"))
+    return ingest.upsert_authorships(cur, inc, c.persons).withColumn("person_id", F.col("person_id").cast("string"))
+
+
+@query("""SELECT p.person_id, CASE WHEN s.person_id IS NOT NULL THEN s.n ELSE p.publications_total END AS publications_total, p.full_name FROM persons p
+    LEFT JOIN (SELECT person_id, count(*)::INT AS n FROM authorships WHERE person_id IS NOT NULL GROUP BY 1 HAVING count(*) > 3) s USING (person_id)""")
+def column_sync(c):
+    n = c.authorships.where("person_id is not null").groupBy("person_id").agg(F.count("*").cast("int").alias("publications_total"))
+    source = n.withColumn("publications_total", F.when(F.col("publications_total") > 3, F.col("publications_total")))
+    return ingest.sync_columns(c.persons.select("person_id", "publications_total", "full_name"), source, "person_id", ["publications_total"], "publications_total")
+
+
+@query(f"""SELECT id, person_id, title FROM courses WHERE person_id <> {OTHER_PERSON} UNION ALL SELECT id, person_id, upper(title) FROM courses WHERE person_id = {OTHER_PERSON} AND academic_year >= '2020'""")
+def replace_by_person(c):
+    cols = c.courses.select("id", "person_id", "title", "academic_year")
+    new = cols.where((F.col("person_id") == OTHER_PERSON) & (F.col("academic_year") >= "2020")).select("id", "person_id", F.upper("title").alias("title"))
+    return ingest.replace_by_person(cols.drop("academic_year"), new, c.persons.where(F.col("person_id") == OTHER_PERSON))
+
+
+@query("""SELECT a.publication_id, a.position, p.person_id::VARCHAR AS person_id FROM (SELECT DISTINCT publication_id, position, person_id FROM authorships) a LEFT JOIN persons p USING (person_id)""")
+def fk_resolution(c):
+    return ingest.known_persons(c.authorships.select("publication_id", "position", "person_id").distinct(), c.persons).withColumn("person_id", F.col("person_id").cast("string"))
+
+
+@query()
+def enriched_persons(c):
+    """Tags and vectors written back for every person; contexts under the gate have neither."""
+    ctx = enrich.person_contexts(c.persons, c.publications, c.authorships, c.courses, c.theses, c.thesis_supervisors)
+    table = c.persons.select("person_id", "interests_extracted", "embedding")
+    got = ingest.write_back(table, enrich.enrich_persons(ctx), "person_id", ["interests_extracted", "embedding"])
+    return got.select("person_id", joined("interests_extracted").alias("tags"), F.col("embedding").isNotNull().alias("embedded"))
+
+
+# --- jobs ------------------------------------------------------------------------
+
+_STATE = "['queued', 'running', 'done', 'failed', 'cancelling', 'cancelled'][1 + (event_id % 6)::INT]"
+
+
+def _events(c: Catalog) -> DataFrame:
+    """The event table as a job log: a user is a job."""
+    state = F.element_at(F.array(*[F.lit(s) for s in lexicon.JOB_STATES]), (F.col("event_id") % 6 + 1).cast("int"))
+    return c.events.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", state.alias("status"), F.floor("value").cast("int").alias("processed"))
+
+
+@query(f"SELECT user_id AS job_id, arg_max({_STATE}, (ts, event_id)) AS status, arg_max(floor(value)::INT, (ts, event_id)) AS processed, min(ts) AS started_at FROM events GROUP BY 1")
+def job_latest_state(c):
+    return jobs.latest(_events(c), tie="event_id").select("job_id", "status", "processed", "started_at")
+
+
+@query("SELECT user_id AS job_id, count(*) AS total, round_even(least(50, count(*)) * 100.0 / count(*), 1)::DOUBLE AS percent FROM events GROUP BY 1")
+def job_progress(c):
+    n = c.events.groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("total"))
+    return n.select("job_id", "total", jobs.progress(F.least(F.lit(50), F.col("total")), F.col("total")).cast("double").alias("percent"))
+
+
+@query("SELECT user_id AS job_id, min(ts) AS started_at FROM events GROUP BY 1 ORDER BY started_at DESC, job_id LIMIT 20")
+def recent_jobs(c):
+    return jobs.recent(jobs.latest(_events(c).select("job_id", "at", "status"))).select("job_id", "started_at")
+
+
+@query("SELECT campus_id, letter, n FROM campuses, (SELECT unnest(['А', 'Б', 'В']) AS letter, unnest([0, 1, 2]) AS n)")
+def crawl_visits(c):
+    return web.visits(c.campuses, "АБВ").select("campus_id", "letter", F.col("_n").alias("n"))
+
+
+@query("SELECT href AS url, arg_min(publication_id, publication_id || '#' || lpad(position::VARCHAR, 6, '0')) AS publication_id FROM authorships WHERE href IS NOT NULL GROUP BY 1")
+def crawl_frontier(c):
+    links = c.authorships.select(F.col("href").alias("url"), "publication_id", F.concat("publication_id", F.lit("#"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("n"))
+    return web.frontier(links, "n").select("url", "publication_id")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import lexicon
 from quaestor.functions.text import (
-    names_organisation, normal_tag, numeric_ratio, script_language, strip, topical_unit, without_substrings, word_ngrams)
+    names_organisation, normal_tag, numeric_ratio, strip, topical_unit, without_substrings, word_ngrams)
 
 # --- contexts --------------------------------------------------------------------
 
@@ -109,7 +109,8 @@ def rank_tags(candidates: DataFrame, key: str, max_tags: int = lexicon.MAX_TAGS,
     """
     extra = [person_name] if person_name else []
     merged = candidates.withColumn("tag", normal_tag(F.col("tag"))).where("tag <> ''").groupBy(key, "tag", *extra).agg(F.max("score").alias("score"))
-    kept = filter_tags(merged.withColumn("_row", F.struct(F.col(key), F.col("score"), F.col("tag").alias("was"))), "_row", "tag", person_name, None, lemmatise) if not person_name else filter_tags(merged.withColumn("_row", F.struct(F.col(key), F.col("score"), F.col("tag").alias("was"))), "_row", "tag", person_name, None, lemmatise)
+    rows = merged.withColumn("_row", F.struct(F.col(key), F.col("score"), F.col("tag").alias("was")))
+    kept = filter_tags(rows, "_row", "tag", person_name, None, lemmatise)
     kept = kept.select(F.col(f"_row.{key}").alias(key), "tag", F.when(F.lit(corrected) | (F.col("tag") == F.col("_row.was")), F.col("_row.score")).otherwise(0.0).alias("score"))
     per = kept.groupBy(key, "tag").agg(F.max("score").alias("score")).groupBy(key).agg(F.collect_list(F.struct("tag", "score")).alias("_a"))
     names = without_substrings(F.transform("_a", lambda x: x["tag"]))
@@ -130,7 +131,9 @@ def extract_topics(df: DataFrame, key: str, text: str, max_tags: int = lexicon.M
     """(key, tags) of every row; texts shorter than 50 characters have none."""
     extra = [person_name] if person_name else []
     long = df.where(F.length(text) >= 50)
-    found = ngram_candidates(long, key, text)
+    # as many candidates as a keyphrase model would hand over: twice the tags wanted
+    best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.length("tag").desc(), "tag")
+    found = ngram_candidates(long, key, text).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2 * max_tags).drop("_r")
     if extra:
         found = found.join(df.select(key, person_name), key)
     ranked = rank_tags(found, key, max_tags, person_name, lemmatise)
@@ -191,7 +194,3 @@ def enrich_persons(contexts: DataFrame, gate: int = lexicon.CONTEXT_GATE, embedd
     topics = extract_topics(contexts.where(long), "person_id", "context")
     rows = contexts.select("person_id", F.when(long, F.col("context")).alias("_c")).join(topics, "person_id", "left")
     return rows.select("person_id", F.coalesce("tags", F.array().cast("array<string>")).alias("interests_extracted"), embed(F.col("_c"), embedder).alias("embedding"))
-
-
-def text_language(c: Column) -> Column:
-    return script_language(c)

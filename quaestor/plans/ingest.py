@@ -16,9 +16,12 @@ from quaestor.functions.nested import primary_unit
 from quaestor.functions.text import absolutize, blank_to_null, clean_whitespace, strip, supervisor_id_from_url
 
 
-@F.pandas_udf("string")
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(x) if isinstance(x, str) else None)
+def _unescape(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: html.unescape(x) if isinstance(x, str) else None)
+
+    return run(c)
 
 
 def clean_html(c: Column) -> Column:
