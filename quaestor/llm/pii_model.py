@@ -51,7 +51,7 @@ _WORD = rf"[{_UP}][\w’'-]*"
 TRIGGER = re.compile(
     rf"@|[\[(]\s*(?:at|AT|At|собака)\s*[\])]|\b(?:dot|DOT|точка|ТОЧКА|собака|СОБАКА)\b"
     rf"|\d(?:[\s().+№–-]{{0,3}}\d){{8,}}"
-    rf"|{_WORD}[.,]*(?:\s*\w{{1,9}}[.,]*){{0,2}}\s*\d{{1,4}}(?!\d)"
+    rf"|{_WORD}[.,]*(?:\s*\w{{1,14}}[.,]*){{0,2}}\s*\d{{1,4}}(?!\d)"
     rf"|\b\d{{1,4}}\w?,?\s+{_WORD}\s+{_WORD}"
     rf"|{_WORD}\.?,?\s*(?:[{_UP}]\.|[{_UP}][\w’'-]+)"
 )
@@ -131,6 +131,30 @@ def _valid(text: str, kind: int) -> bool:
     return digits == 0 and len(words) >= 2 and any(len(w) > 1 for w in words)
 
 
+_PREFIX = re.compile(r"(?:^|(?<=[\s,;:|·(]))\+?\d{1,3}[ .(-]{1,2}$")
+_STOP = re.compile(r"(?<=[^\W\d_]{3})[.;|·]\s*")
+
+
+def _settled(text: str, a: int, b: int, kind: int) -> list[tuple[int, int, int]]:
+    """Last corrections of one find: the country or trunk code of a number, the ends and the full stops of names."""
+    if kind == 1 and (m := _PREFIX.search(text, max(0, a - 6), a)):
+        return [(m.start(), b, kind)]
+    if kind != 4:
+        return [(a, b, kind)]
+    out = []
+    cuts = [(m.start(), m.end()) for m in _STOP.finditer(text, a, b)]
+    for start, end in zip([a, *[e for _, e in cuts]], [*[s for s, _ in cuts], b]):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_][\w’'-]*\.?", text[start:end])]
+        if any(text[start + x].isupper() for x, _ in words):
+            while words and text[start + words[0][0]].islower():
+                words.pop(0)
+            while words and text[start + words[-1][0]].islower():
+                words.pop()
+        if words:
+            out.append((start + words[0][0], start + words[-1][1], kind))
+    return out
+
+
 def spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind) from character labels: runs of one kind, grown to whole words or digit runs."""
     found = []
@@ -148,6 +172,8 @@ def spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, int]]:
         if rx.match(text[a]):
             while a > low and rx.match(text[a - 1]):
                 a -= 1
+            if kind == 0 and a and a == low and rx.match(text[a - 1]):  # a name that runs into an address is part of it
+                a = found.pop()[0]
         while b < n and rx.match(text[b - 1]) and rx.match(text[b]):
             b += 1
         while b > a and not (text[b - 1].isalnum() or (kind == 4 and text[b - 1] == "." )):
@@ -162,7 +188,7 @@ def spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, int]]:
             joined[-1] = (joined[-1][0], max(b, joined[-1][1]), kind)
         else:
             joined.append((a, b, kind))
-    return [x for x in joined if _valid(text[x[0] : x[1]], x[2])]
+    return [x for y in joined for x in _settled(text, *y) if _valid(text[x[0] : x[1]], x[2])]
 
 
 def find(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, int]]]:

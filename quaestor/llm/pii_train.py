@@ -1,6 +1,9 @@
 """Training of the personal-data tagger.
 
-    python -m quaestor.llm.pii_train DIR_OF_TABLES [BATCHES]
+    python -m quaestor.llm.pii_train DIR_OF_TABLES [BATCHES [more]]
+
+"more" goes on from the stored weights at a lower rate; the stored weights came from
+2000 batches and 500 more over sf0.1.
 
 Labelled spans: at most `MAX_DOCUMENTS` documents are marked by the pattern
 grammar below, which knows the shapes and the cue words of each kind and the
@@ -26,7 +29,7 @@ EMAIL = re.compile(
     r"[\w.+-]*\w(?: ?@ ?|\s*[\[(]\s*(?:at|собака)\s*[\])]\s*|\s+(?:at|собака)\s+(?=[\w-]+\s+(?:dot|точка)\s|[\w-]+\.\w))"
     r"[\w-]+(?:(?:\.|\s+(?:dot|точка)\s+|\s*[\[(]\s*(?:dot|точка)\s*[\])]\s*)[\w-]+)+", re.I)
 ID_CUE = r"(?:снилс|snils|страхов\w+ номер|insurance (?:no|number)|инн|inn|tin|tax (?:no|number))[^\d\n]{0,14}"
-SNILS = re.compile(ID_CUE + r"(\d{3}[- ]?\d{3}[- ]?\d{3}[- ]?\d{2}|\d{12}|\d{10})(?!\d)", re.I)
+SNILS = re.compile(ID_CUE + r"(\d{3}[- ]?\d{3}[- ]?\d{3}[- ]?\d{2}|\d{4}[- ]?\d{4}[- ]?\d{4}|\d{10})(?!\d)", re.I)
 PASSPORT = re.compile(r"(?:паспорт|passport)[^\d\n]{0,16}(\d{2} ?\d{2} ?(?:№ ?)?\d{6})(?!\d)", re.I)
 PHONE = re.compile(r"(?<![\w.№/-])(?<!№ )(?<!№)(?:\+?\d{1,3}[ .(-]{0,2})?\(?\d{2,4}\)?[ .)-]{0,2}\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w/]|[.-]\d)")
 NOT_PHONE = re.compile(r"(?:isbn|doi|удк|рег\.|№|грант|issn|reg\.|grant)[^\n;,]{0,12}$", re.I)
@@ -51,27 +54,40 @@ def latin(word: str) -> str:
     return "".join(_LATIN.get(c, c) for c in word.lower())
 
 
-def given_names(full_names: list[str]) -> set[str]:
-    """Given names as five-letter stems in Latin letters (the whole name if shorter)."""
-    out: set[str] = set()
+def _stem(word: str) -> str:
+    return word[: min(4, max(3, len(word) - 1))]
+
+
+def given_names(full_names: list[str]) -> dict[str, set[int]]:
+    """Stems of given names in Latin letters, each with the lengths of its names."""
+    out: dict[str, set[int]] = {"lva": {3}, "lvom": {4}, "pavl": {5}}  # cases that change the stem
     for x in full_names:
         words = (x or "").split()
         pick = words[1:2] if re.search("[а-яё]", x or "", re.I) else words[:1]
-        out |= {latin(w)[:4] for w in pick if len(w) > 2}
+        for w in map(latin, pick):
+            if len(w) > 2:
+                out.setdefault(_stem(w), set()).add(len(w))
     return out
 
 
-def _is_name(words: list[str], given: set[str]) -> bool:
+def _given(word: str, given: dict[str, set[int]]) -> bool:
+    """Whether a word is a given name in any case or spelling."""
+    w = latin(word)
+    return any(abs(len(w) - n) <= 2 for s in {w[:3], w[:4]} for n in given.get(s, ()))
+
+
+def _is_name(words: list[str], given: dict[str, set[int]]) -> bool:
     if any(re.fullmatch(r"(?:ул|наб|St|Road|Lane|Avenue|Street|Der|Die|Das|Im|Unsere|Nach|ISBN|E-mail|Call|Write|Send)", w) for w in words):
         return False
     whole = [w for w in words if len(w) > 1]
     if len(whole) < len(words):  # initials
         return len(whole) == 1 and bool(_SURNAME.match(whole[0])) and len(whole[0]) > 3
-    return any(latin(w)[:4] in given or _PATRONYMIC.search(w) and len(w) > 6 for w in whole) and len(whole) >= 2
+    return any(_given(w, given) or _PATRONYMIC.search(w) and len(w) > 6 for w in whole) and len(whole) >= 2
 
 
-def marked(text: str, given: set[str]) -> list[tuple[int, int, int]]:
+def marked(text: str, given: dict[str, set[int]]) -> list[tuple[int, int, int]]:
     taken = np.zeros(len(text) + 1, bool)
+    text = re.sub("[\u00a0\u2000-\u200a\u202f]", " ", text)  # same length
     out = []
 
     def add(a: int, b: int, kind: int) -> None:
@@ -98,7 +114,7 @@ def marked(text: str, given: set[str]) -> list[tuple[int, int, int]]:
         at = m.end()
         if _is_name(words, given):
             if len(words) == 3 and all(len(w) > 1 for w in words):
-                flags = [latin(w)[:4] in given or bool(_PATRONYMIC.search(w)) for w in words]
+                flags = [_given(w, given) or bool(_PATRONYMIC.search(w)) for w in words]
                 if not flags[0] and not flags[1]:
                     at = m.start() + len(words[0])
                     continue
@@ -114,7 +130,7 @@ def marked(text: str, given: set[str]) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def examples(texts: list[str], given: set[str]):
+def examples(texts: list[str], given: dict[str, set[int]]):
     for text in texts:
         spots = windows(text)
         if not spots:
@@ -157,7 +173,7 @@ def scores(texts, given, model) -> dict[str, tuple[int, int, int]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
-def main(folder: str, total: int) -> None:
+def main(folder: str, total: int, more: bool = False) -> None:
     import pyarrow.parquet as pq
 
     docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
@@ -166,16 +182,16 @@ def main(folder: str, total: int) -> None:
     held, own = texts[::12], [t for i, t in enumerate(texts) if i % 12]
     data = list(examples(own, given))
     print(len(texts), "documents,", len(data), "windows,", sum(y.any() for _, y in data), "with marks", flush=True)
-    model, began = BiLstmCrf.fresh(SYMBOLS, HIDDEN, LABELS, seed=7), time.time()
+    model, began = BiLstmCrf.load(WEIGHTS) if more else BiLstmCrf.fresh(SYMBOLS, HIDDEN, LABELS, seed=7), time.time()
 
     def tell(step: int, loss: float) -> None:
         if step % 50 == 0:
             print(step, round(loss, 3), round(time.time() - began), flush=True)
 
-    train(model, batches(data, total, 11), total=total, tell=tell)
+    train(model, batches(data, total, 12 if more else 11), rate=0.0012 if more else 0.004, total=total, tell=tell)
     model.save(WEIGHTS)
     print("held out (both, only grammar, only tagger):", scores(held, given, BiLstmCrf.load(WEIGHTS)))
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], int(sys.argv[2]) if len(sys.argv) > 2 else 900)
+    main(sys.argv[1], int(sys.argv[2]) if len(sys.argv) > 2 else 2000, "more" in sys.argv)
