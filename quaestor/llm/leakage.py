@@ -34,7 +34,7 @@ WORD = re.compile(r"[^\W_]+")
 WORDS = 10
 SHARD_TOKENS = 1_000_000
 #: Characters of items that are searched at once; beyond it the items are taken in several blocks.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 2_000_000
 _GAP = 64
 
 _INDEX = "docs array<long>, starts array<long>, terms array<int>, counts array<int>, places array<long>"

@@ -40,7 +40,9 @@ def cutoffs(rows: DataFrame, group: str, n: int) -> DataFrame:
     state = cut(state.where(F.col("_n") > n).select(group, F.lit(n).cast("long").alias("_need"), "_lo", "_hi"), "state")
     while not state.isEmpty():
         width = F.expr(f"(_hi - _lo) div {PARTS} + 1")
-        inside = salted_join(rows, state, [group], "inner", F.col("_code")).where("_code between _lo and _hi")
+        # Only rows inside an open interval are read again in the next round.
+        inside = cut(salted_join(rows.select(group, "_code"), state, [group], "inner", F.col("_code")).where("_code between _lo and _hi"), "inside")
+        rows = inside
         counts = inside.groupBy(group, ((F.col("_code") - F.col("_lo")) / width).cast("int").alias("_part")).agg(
             F.count("*").alias("_n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi"), F.first("_need").alias("_need"))
         # at most PARTS rows a group

@@ -7,8 +7,10 @@ and kept as one bit a dimension plus two correction scalars.  Inner products are
 estimated from the packed bits against a query of four bits a dimension; pairs whose
 upper error bound reaches the k-th best lower bound are reranked with the vectors.
 
-A list longer than BLOCK is cut into blocks by the hash of the id and its queries
-visit each block, so no task holds more than a block of rows and a batch of queries.
+The number of lists is bounded, so lists grow with the table: a list of more than
+DIVIDE rows is divided by a second k-means inside its task.  A list longer than BLOCK
+is cut into blocks by the hash of the id and its queries visit each block, so no task
+holds more than a block of rows and the queries of one list.
 
 Defined results: null, empty, wrongly sized, all-zero vectors and those with NaN or
 infinite elements are left out; an id that repeats counts once; equal similarity
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from quaestor.plans.lineage import cut
 
-SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 4096, 512
+SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 16_384, 512
 PROBES, BOUND, QUERY_BITS = 2, 2.0, 4
+#: A list with more rows than this is divided again where it is searched, and each query asks this many parts.
+DIVIDE, PARTS_ASKED, PART_SAMPLE = 2048, 6, 8192
 
 
 @functools.cache
@@ -109,6 +113,23 @@ def _estimate(base: np.ndarray, query: np.ndarray, centre: np.ndarray):
     return scale * cosine + shift, scale * error[None, :]
 
 
+def _search(base_ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, query: np.ndarray, centre: np.ndarray, k: int, least: float):
+    """`_best` over one list, divided into parts if it is long."""
+    if len(base) <= DIVIDE:
+        return _best(base_ids, base, query_ids, query, centre, k, least)
+    step = max(1, len(base) // PART_SAMPLE)
+    centres = kmeans(base[::step], max(2, min(len(base) // LIST, len(base[::step]) // 4)), rounds=5)
+    home = np.concatenate([(base[a : a + 4096] @ centres.T).argmax(1) for a in range(0, len(base), 4096)])
+    asked = min(PARTS_ASKED, len(centres))
+    near = np.concatenate([np.argpartition(-(query[a : a + 4096] @ centres.T), asked - 1, axis=1)[:, :asked] for a in range(0, len(query), 4096)])
+    found = []
+    for j in np.unique(home):
+        own, asks = home == j, (near == j).any(1)
+        if asks.any():
+            found.append(_best(base_ids[own], base[own], query_ids[asks], query[asks], centres[j], k, least))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
 def _best(base_ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, query: np.ndarray, centre: np.ndarray, k: int, least: float):
     out: list[tuple] = []
     for a in range(0, len(query), QUERIES):
@@ -181,7 +202,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
         asks = pdf["asks"].to_numpy(bool) if "asks" in pdf else np.ones(len(pdf), bool)
         if not base.any() or not asks.any():
             return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
-        a, b, c = _best(ids[base], x[base], ids[asks], x[asks], centres.value[int(pdf["list"].iloc[0])], k, least)
+        a, b, c = _search(ids[base], x[base], ids[asks], x[asks], centres.value[int(pdf["list"].iloc[0])], k, least)
         return pd.DataFrame({"id": a, "neighbour": b, "cosine": c})
 
     found = held.groupBy(*keys).applyInPandas(search, "id string, neighbour string, cosine float")

@@ -41,6 +41,16 @@ def test_blocked_lists_give_the_same(spark, monkeypatch):
     assert len(whole & parts) >= 0.99 * len(whole | parts)
 
 
+def test_divided_lists_keep_the_recall(spark, monkeypatch):
+    x = data(900, 4)
+    df = frame(spark, [(f"{i:05d}", list(map(float, v))) for i, v in enumerate(x)])
+    want = brute(x, 10, 0.6)
+    for name, value in (("DIVIDE", 100), ("LIST", 40), ("MAX_LISTS", 2)):
+        monkeypatch.setattr(vectors, name, value)
+    got = {tuple(r) for r in similar_pairs(df, "id", "v", 10, 0.6).collect()}
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_error_bound_holds_for_nearly_all():
     x = data(400, 3)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
