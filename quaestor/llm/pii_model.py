@@ -47,23 +47,34 @@ def symbols(text: str) -> np.ndarray:
 
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ"
 _WORD = rf"[{_UP}][\w’'-]*"
-#: Any shape that can hold personal data; everything outside the margins of a match has none.
-TRIGGER = re.compile(
-    rf"@|[\[(]\s*(?:at|AT|At|собака)\s*[\])]|\b(?:dot|DOT|точка|ТОЧКА|собака|СОБАКА)\b"
-    rf"|\d(?:[\s().+№–-]{{0,3}}\d){{8,}}"
-    rf"|{_WORD}[.,]*(?:\s*\w{{1,14}}[.,]*){{0,2}}\s*\d{{1,4}}(?!\d)"
-    rf"|\b\d{{1,4}}\w?,?\s+{_WORD}\s+{_WORD}"
-    rf"|{_WORD}\.?,?\s*(?:[{_UP}]\.|[{_UP}][\w’'-]+)"
+#: Shapes that can hold personal data; everything outside the margins of a match has none.
+#: Each begins with one class of characters, which the matcher finds quickly.
+_SHAPES = (
+    re.compile(rf"{_WORD}\.?,?\s*[{_UP}][\w’'.-]"),
+    re.compile(rf"\d(?:(?:[\s().+№–-]{{0,3}}\d){{8,}}|\d{{0,3}}\w?,?\s+{_WORD}\s+[{_UP}])"),
+    re.compile(r"@"),
+    re.compile(r"[\[(]\s*(?:at|AT|At|собака)\s*[\])]"),
 )
+_NUMBER = re.compile(r"\d+")
+_BEFORE_NUMBER = re.compile(rf"{_WORD}[.,]*(?:\s*\w{{1,14}}[.,]*){{0,2}}\s*$")
+_SIGN_WORDS = re.compile(r"\b(?:dot|DOT|точка|ТОЧКА|собака|СОБАКА)\b")
 
 
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches of a text worth tagging, the long ones cut into overlapping windows."""
+    hits = [m.span() for rx in _SHAPES for m in rx.finditer(text)]
+    for m in _NUMBER.finditer(text):  # a number of up to four digits soon after a capital
+        start = m.start()
+        if m.end() - start <= 4 and (before := _BEFORE_NUMBER.search(text, max(0, start - 48), start)):
+            hits.append((before.start(), m.end()))
+    if any(w in text for w in ("dot", "DOT", "точка", "ТОЧКА", "собака", "СОБАКА")):
+        hits += [m.span() for m in _SIGN_WORDS.finditer(text)]
+    hits.sort()
     spans: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for start, end in hits:
+        a, b = max(0, start - MARGIN), min(len(text), end + MARGIN)
         if spans and a <= spans[-1][1]:
-            spans[-1][1] = b
+            spans[-1][1] = max(b, spans[-1][1])
         else:
             spans.append([a, b])
     out = []
