@@ -192,6 +192,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
     blocks = max(1, -(-n // (BLOCK * 4)))
     held = spread if blocks == 1 else _blocked(spread)
     keys = ["list"] if blocks == 1 else ["list", "block"]
+    # tasks follow the size of what is shuffled: about 4 MB each, at most one a list and block
+    tasks = int(np.clip(n * dim * 2 * probes / 4e6, 8, max(8, lists * blocks)))
+    held = held.repartition(tasks, *keys)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "base", "asks"] if "base" in pdf else ["id", "home"])
