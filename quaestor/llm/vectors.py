@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quaestor.plans.lineage import cut
 
 SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 16_384, 512
-PROBES, BOUND, QUERY_BITS = 2, 2.0, 4
+PROBES, BOUND, QUERY_BITS = 3, 2.0, 4
 #: A list with more rows than this is divided again where it is searched, and each query asks this many parts.
 DIVIDE, PARTS_ASKED, PART_SAMPLE = 2048, 6, 8192
 
@@ -157,15 +157,15 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
     n = rows.where(F.size("v") == dim).count()
-    share = min(1.0, 1.2 * SAMPLE / max(n, 1))
-    picked = rows.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))).limit(SAMPLE)
+    share = min(1.0, SAMPLE / max(n, 1))  # about SAMPLE rows, chosen by the hash of their id
+    picked = rows.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40))))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, x = _usable(batch, dim)
             yield pa.RecordBatch.from_pydict({"x": pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())})
 
-    got = [r[0] for r in picked.mapInArrow(shrink, "x binary").collect()]  # at most SAMPLE rows of 2 * dim bytes
+    got = [r[0] for r in picked.mapInArrow(shrink, "x binary").collect()][: 2 * SAMPLE]  # rows of 2 * dim bytes
     empty = spark.createDataFrame([], "id string, neighbour string, cosine float")
     if not got:
         return empty
