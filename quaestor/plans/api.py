@@ -291,3 +291,16 @@ def home(c: Catalog, q: str = "", query: list[float] | None = None, page: int =
     out["publications"] = publications_query(c, q=q).orderBy(*newest_first()).limit(5)
     out["courses"] = search_courses(c, q=q).orderBy(F.col("academic_year").desc_nulls_last(), "id").limit(5)
     return out
+
+
+def person_profile(c: Catalog, person_id: int, now: datetime, pub_page: int = 1, course_page: int = 1) -> dict[str, DataFrame]:
+    """The profile page: card with counts and further units, publications marked if forthcoming, courses rolled up."""
+    card = person_card(c, person_id).withColumn("extra_units", nested.extra_units(F.col("positions"), F.col("primary_unit")))
+    pubs = c.pubs("title", "type", "year", "raw").join(c.authorships.where(F.col("person_id") == person_id).select(F.col("publication_id").alias("id")), "id", "left_semi")
+    page = paging.page_of(pubs.withColumn("forthcoming", forthcoming(F.col("raw"), F.col("year"), now)).drop("raw"), newest_first(), pub_page, 10)
+    return {"card": card.join(card_stats(c, card), "person_id"), "publications": page, "courses": person_profile_courses(c, person_id, course_page, 20).rows}
+
+
+def publications_page(c: Catalog, q: str = "", page: int = 1, page_size: int = 20, **filters) -> DataFrame:
+    """One page of the lexical listing, with the authors of its publications."""
+    return with_authors(c, list_publications(c, page, page_size, q=q or None, **filters).rows)

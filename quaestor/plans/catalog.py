@@ -667,3 +667,24 @@ def crawl_visits(c):
 def crawl_frontier(c):
     links = c.authorships.select(F.col("href").alias("url"), "publication_id", F.concat("publication_id", F.lit("#"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("n"))
     return web.frontier(links, "n").select("url", "publication_id")
+
+
+# --- composite pages -------------------------------------------------------------
+
+
+@query(f"""WITH p AS (SELECT id, title FROM {PUBS} WHERE title ILIKE '%рын%' ORDER BY created_at DESC NULLS FIRST, id LIMIT 20)
+    SELECT p.id, p.title, coalesce(a.n, 0) AS n_authors FROM p LEFT JOIN (SELECT publication_id AS id, count(*) AS n FROM (SELECT DISTINCT * FROM authorships) GROUP BY 1) a USING (id)""")
+def publications_page_with_authors(c):
+    return api.publications_page(c, "рын").select("id", "title", F.size("authors").cast("long").alias("n_authors"))
+
+
+@query(f"""SELECT id, coalesce(json_extract_string(raw, '$.status') = '2', false) OR coalesce(year > 2026, false) AS forthcoming FROM {PUBS}
+    WHERE id IN (SELECT publication_id FROM authorships WHERE person_id = {PERSON}) ORDER BY year DESC NULLS LAST, id LIMIT 10""")
+def profile_publications(c):
+    return api.person_profile(c, PERSON, NOW)["publications"].select("id", "forthcoming")
+
+
+@query(f"""WITH r AS (SELECT {strip('title')} AS title, id, nullif(academic_year, '') AS y, row_number() OVER (ORDER BY academic_year DESC NULLS LAST, id DESC) AS rn FROM courses WHERE person_id = {OTHER_PERSON})
+    SELECT title, count(DISTINCT y) AS times_taught FROM r WHERE title <> '' GROUP BY 1 ORDER BY coalesce(max(y), '') DESC, min(rn) LIMIT 20""")
+def profile_courses(c):
+    return api.person_profile_courses(c, OTHER_PERSON).rows.select("title", F.col("times_taught").cast("long"))
