@@ -242,7 +242,7 @@ def experts(c: Catalog, query: list[float], q: str = "", limit: int = 20, offset
     """The people nearest to a query vector who teach or do research, with the topics they share with q."""
     check_range("limit", limit, 1, 50)
     p = where_all(c.persons, [nested.teaches(F.col("positions"))], equals("campus_id", campus_id), [nested.works_in(F.col("positions"), unit)] if unit else [], has_publications(has_pubs))
-    top = vector.vector_top_k(p.select("person_id", "full_name", "campus_id", "primary_unit", "interests", "interests_extracted", "embedding"), "person_id", "embedding", vector.constant(query), limit, offset)
+    top = vector.vector_top_k(p.select("person_id", "full_name", "campus_id", "primary_unit", "interests", "interests_extracted", "embedding"), "person_id", "embedding", query, limit, offset)
     top = with_campus(top.drop("embedding"), c.campuses)
     return top.withColumns({"tier": vector.score_tier(F.col("score")), "matched": nested.matched_topics(q, F.col("interests"), F.col("interests_extracted"))})
 
@@ -256,8 +256,7 @@ def expert_hits(c: Catalog, query: list[float], q: str = "", pubs_per_person: in
 
 def semantic_publications(c: Catalog, query: list[float], limit: int = 20, year_from=None, year_to=None, type=None, language=None) -> DataFrame:
     rows = where_all(c.publications.select("id", "title", "type", "year", "language", "embedding"), between("year", year_from, year_to), equals("type", type), equals("language", language))
-    scored = rows.where(vector.usable(F.col("embedding"))).withColumn("score", F.round(vector.cosine(F.col("embedding"), vector.constant(query)), 6))
-    one = scored.drop("embedding").dropDuplicates(["id"])  # copies of an id have equal scores; no vector is shuffled
+    one = vector.scored(rows, "embedding", query).drop("embedding").dropDuplicates(["id"])  # copies of an id have equal scores; no vector is shuffled
     return one.orderBy(F.col("score").desc(), "id").limit(limit)
 
 

@@ -404,24 +404,24 @@ def _publication_vector(c: Catalog) -> list[float]:
 
 @query(f"SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} ORDER BY score DESC, person_id LIMIT 20")
 def vector_topk(c):
-    return vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", vector.constant(_person_vector(c)), 20).select("person_id", "score")
+    return vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", _person_vector(c), 20).select("person_id", "score")
 
 
 @query(f"SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} AND campus_id = '{CAMPUS}' AND publications_total > 0 ORDER BY score DESC, person_id LIMIT 20")
 def vector_topk_filtered(c):
     rows = c.persons.where((F.col("campus_id") == CAMPUS) & (F.col("publications_total") > 0)).select("person_id", "embedding")
-    return vector.vector_top_k(rows, "person_id", "embedding", vector.constant(_person_vector(c)), 20).select("person_id", "score")
+    return vector.vector_top_k(rows, "person_id", "embedding", _person_vector(c), 20).select("person_id", "score")
 
 
 @query(f"SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} ORDER BY score DESC, person_id LIMIT 10 OFFSET 10")
 def vector_topk_paged(c):
-    return vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", vector.constant(_person_vector(c)), 10, 10).select("person_id", "score")
+    return vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", _person_vector(c), 10, 10).select("person_id", "score")
 
 
 @query(f"""SELECT person_id, score, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.45 THEN 'medium' ELSE 'weak' END AS tier FROM
     (SELECT person_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} ORDER BY score DESC, person_id LIMIT 50) WHERE score >= 0.3""")
 def score_tiers(c):
-    top = vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", vector.constant(_person_vector(c)), 50)
+    top = vector.vector_top_k(c.persons.select("person_id", "embedding"), "person_id", "embedding", _person_vector(c), 50)
     return api.shown(top).select("person_id", "score", vector.score_tier(F.col("score")).alias("tier"))
 
 

@@ -145,6 +145,9 @@ def test_vectors(spark):
     assert ok == [1, 2, 3]
     c = df.where("id = 2").select(vector.cosine(F.col("v"), vector.constant([1, 0]))).head()[0]
     assert c == pytest.approx(math.sqrt(0.5))
+    near = vector.vector_top_k(df, "id", "v", [1.0, 0.0], 5).collect()
+    assert [(r.id, r.score) for r in near] == [(1, 1.0), (3, 1.0), (2, 0.707107)] and vector.vector_top_k(df, "id", "v", [1.0, 0.0], 5, 2).head().id == 2
+    assert df.where("id = 5").select(vector.cosine(F.col("v"), F.col("v"))).head()[0] is None
     assert [one(spark, vector.score_tier(X), s, "double") for s in (0.6, 0.45, 0.3, 0.29, None)] == ["strong", "medium", "weak", None, None]
 
 
