@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.operators.skew import spread
 from quaestor.plans.lineage import Stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -77,7 +78,7 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]
             yield shard()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.length("t") > 0))
-    return Stage(rows.mapInPandas(index, _INDEX), "postings")
+    return Stage(spread(rows).mapInPandas(index, _INDEX), "postings")
 
 
 class _Items:

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.operators.skew import spread
 from quaestor.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,7 +56,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
         for batch in batches:
             yield pd.Series([len(enc.encode_ordinary(x)) if isinstance(x, str) and x else 0 for x in batch], dtype="int64")
 
-    return docs.withColumn("n_tokens", count(F.col(text))).drop(text)
+    return spread(docs).withColumn("n_tokens", count(F.col(text))).drop(text)
 
 
 def _plan(sizes: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, tuple[int, float, float]]:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.operators.skew import spread
 from quaestor.plans.lineage import cut
 
 SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 16_384, 512
@@ -187,10 +188,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
             for j in range(p):
                 yield pa.RecordBatch.from_pydict({"list": pa.array(near[:, j], pa.int32()), "home": pa.array(np.full(len(ids), j == 0)), "id": pa.array(ids, pa.string()), "x": raw})
 
-    spread = rows.where(F.size("v") == dim).mapInArrow(assign, "list int, home boolean, id string, x binary")
+    placed = spread(rows.where(F.size("v") == dim)).mapInArrow(assign, "list int, home boolean, id string, x binary")
     # Long lists: rows go to one block by their id, queries to each block of the list.
     blocks = max(1, -(-n // (BLOCK * 4)))
-    held = spread if blocks == 1 else _blocked(spread)
+    held = placed if blocks == 1 else _blocked(placed)
     keys = ["list"] if blocks == 1 else ["list", "block"]
     # tasks follow the size of what is shuffled: about 4 MB each, at most one a list and block
     tasks = int(np.clip(n * dim * 2 * probes / 4e6, 8, max(8, lists * blocks)))
@@ -213,12 +214,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
     return found.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-def _blocked(spread: DataFrame) -> DataFrame:
+def _blocked(placed: DataFrame) -> DataFrame:
     """Rows of long lists spread over blocks: in one as base, in all as query."""
-    spread = cut(spread, "lists")
-    size = spread.where("home").groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("_blocks"))
+    placed = cut(placed, "lists")
+    size = placed.where("home").groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("_blocks"))
     long = size.where("_blocks > 1")  # at most MAX_LISTS rows
-    own = spread.join(F.broadcast(long), "list", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own = placed.join(F.broadcast(long), "list", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     own = own.withColumn("_at", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     wide = own.withColumn("block", F.explode(F.expr("sequence(0, _blocks - 1)")))
     return wide.select("list", "block", "id", "x", "home", (F.col("home") & (F.col("block") == F.col("_at"))).alias("base"), F.lit(True).alias("asks"))
