@@ -28,3 +28,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
     a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for costly work on few files.
+
+    Only a plain scan is looked at; where it has enough partitions, as any large table
+    does, nothing is shuffled.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",  # a task has one core; numpy must not take more
 }
 
 
