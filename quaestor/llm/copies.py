@@ -46,7 +46,6 @@ def hidden_copies(df: DataFrame, key: str, fields: list[str], lists: list[str] =
     plain: columns that must agree as they are; fields: those compared by letters and
     digits; lists: those compared as unordered lists of such entries.
     """
-    width = F.struct(*[F.length(squeezed(F.col(c))) for c in fields])
     rows = df.select(F.col(key).alias("_id"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(plain)], *[F.col(c).alias(f"_f{i}") for i, c in enumerate(fields)], *[F.col(c).alias(f"_l{i}") for i, c in enumerate(lists)]).where(F.col(key).isNotNull())
     p, f, s = [f"_p{i}" for i in range(len(plain))], [f"_f{i}" for i in range(len(fields))], [f"_l{i}" for i in range(len(lists))]
     width = F.xxhash64(*[F.coalesce(F.length(squeezed(F.col(c))), F.lit(-1)) for c in f], *[F.coalesce(F.length(squeezed(F.col(c))), F.lit(-1)) for c in s], *[F.col(c) for c in p])
