@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jsc.get() if jsc.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quaestor-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -202,3 +202,24 @@ def test_refresh_applies_each_file_once(spark, tmp_path):
     go()
     go()
     assert sorted(tuple(r) for r in store.read().collect()) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_stages_are_read_again_and_dropped(spark):
+    from quaestor.plans.lineage import Stage, cut, shared_folder
+
+    folder = shared_folder(spark)
+    assert shared_folder(spark) == folder and spark.conf.get("spark.checkpoint.dir")
+    s = Stage(spark.range(10), "t")
+    assert s.path.startswith(folder) and s.df.count() == 10
+    s.drop()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        s.df.count()
+    assert sorted(r.id for r in cut(spark.range(3)).collect()) == [0, 1, 2]
+
+
+def test_spread_only_where_partitions_are_few(spark):
+    from quaestor.operators.skew import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert "Exchange" in spread(spark.range(0, 100, 1, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in spread(spark.range(0, 100, 1, cores))._jdf.queryExecution().executedPlan().toString()
