@@ -67,3 +67,22 @@ def test_unusable_vectors_repeats_and_ties(spark):
     got = sorted((r.id, r.neighbour) for r in nearest(df, "id", "v", 1).collect())
     assert got == [("a", "b"), ("b", "a"), ("c", "a")]
     assert nearest(df.where("id = 'z'"), "id", "v").count() == 0
+
+
+def crowded(n=1500, seed=6):
+    """A third of the rows in one topic without structure of its own, the rest in small ones."""
+    r = np.random.default_rng(seed)
+    topic = r.standard_normal((n // 12, DIM))
+    at = r.integers(1, len(topic), n)
+    at[: n // 3] = 0
+    return (topic[at] + 0.65 * r.standard_normal((n, DIM))).astype(np.float32)
+
+
+def test_a_dense_topic_over_many_lists_keeps_its_recall(spark, monkeypatch):
+    x = crowded()
+    df = frame(spark, [(f"{i:05d}", list(map(float, v))) for i, v in enumerate(x)])
+    monkeypatch.setattr(vectors, "LIST", 16)
+    got, want = {tuple(r) for r in similar_pairs(df, "id", "v", 10, 0.6).collect()}, brute(x, 10, 0.6)
+    dense = {p for p in want if p[1] < f"{len(x) // 3:05d}"}
+    assert len(got & dense) >= 0.95 * len(dense) > 2000
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
