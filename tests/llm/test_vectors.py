@@ -86,3 +86,16 @@ def test_a_dense_topic_over_many_lists_keeps_its_recall(spark, monkeypatch):
     dense = {p for p in want if p[1] < f"{len(x) // 3:05d}"}
     assert len(got & dense) >= 0.95 * len(dense) > 2000
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
+def test_neighbours_below_any_threshold_are_found(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = (r.standard_normal((1200, 24)) @ r.standard_normal((24, DIM)) + 3.0 * r.standard_normal((1200, DIM))).astype(np.float32)
+    df = frame(spark, [(f"{i:05d}", list(map(float, v))) for i, v in enumerate(x)])
+    monkeypatch.setattr(vectors, "LIST", 16)
+    got = {(q.id, q.neighbour) for q in nearest(df, "id", "v", 10).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"{i:05d}", f"{j:05d}") for i in range(len(x)) for j in np.argsort(-s[i])[:10]}
+    assert len(got & want) >= 0.95 * len(want)
