@@ -6,8 +6,10 @@ are bounded by tokens, are written once to the shared folder and are then read t
 count how often each term occurs in the corpus and to search.  For each run of
 `words` consecutive test terms the lists are shifted by the terms' offsets and
 intersected, beginning with the rarest terms, until all of them agree; that is an
-exact phrase match.  Proximity matches ask the same of the three rarest terms with
-a tolerance and then that most terms of the run lie near their place.
+exact phrase match.  Proximity matches ask that at least `most` terms of the run lie
+near their place.  Of the `words - most + 2` rarest terms at least two then do, whichever
+are missing, so every pair of these is intersected with a tolerance, and the terms are
+counted at each place where the run can begin.
 
 Only terms of the test items are indexed.  Items are searched in blocks of bounded
 size, so any number of items can be searched with the same memory.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -105,6 +108,8 @@ def _search(shard: dict, items: _Items, slack: int, most: int):
     none = np.zeros(0, np.int64)
     memo: dict[tuple, np.ndarray] = {}
     out = []
+    if slack:
+        return _search_near(lists, items, slack, most)
     for r in range(len(items.runs)):
         run, order = items.runs[r], items.order[r]
         # Runs that share their rarest pair share that intersection, up to a shift.
@@ -113,31 +118,57 @@ def _search(shard: dict, items: _Items, slack: int, most: int):
         pair = memo.get(key)
         if pair is None:
             x, y = lists.get(key[0], none), lists.get(key[1], none)
-            if slack:
-                pair = _near(x, y, b - a, slack)
-            else:
-                pair = x[_in(x + (b - a), y)]
-            memo[key] = pair
+            pair = memo[key] = x[_in(x + (b - a), y)]
         if not len(pair):
             continue
         at = pair - a  # where the run would begin
-        if not slack:
-            for j in order[2:]:
-                at = at[_in(at + int(j), lists.get(int(run[j]), none))]
-                if not len(at):
-                    break
-            if len(at):
-                out.append((r, at, False))
+        for j in order[2:]:
+            at = at[_in(at + int(j), lists.get(int(run[j]), none))]
+            if not len(at):
+                break
+        if len(at):
+            out.append((r, at, False))
+    return out
+
+
+def _search_near(lists: dict[int, np.ndarray], items: _Items, slack: int, most: int):
+    """Places where at least `most` terms of a run lie within `slack` of where they belong."""
+    none = np.zeros(0, np.int64)
+    memo: dict[tuple, np.ndarray] = {}
+    out = []
+    rare = min(items.words, items.words - most + 2)
+    around = np.arange(-slack, slack + 1)
+    for r, (run, order) in enumerate(zip(items.runs.tolist(), items.order.tolist())):
+        here = [j for j in order[:rare] if run[j] in lists]
+        if len(here) < min(most, 2):
+            continue
+        starts = []
+        # one term alone can be all that is asked for
+        for a, b in combinations(sorted(here), 2) if most > 1 else zip(here, here):
+            key = (run[a], run[b], b - a)
+            pair = memo.get(key)
+            if pair is None:
+                # both may be off by `slack`, to either side
+                pair = memo[key] = _near(lists[run[a]], lists[run[b]], b - a, 2 * slack)
+            if len(pair):
+                starts.append(pair - a)
+        if not starts:
             continue
+        at = np.unique(np.add.outer(np.concatenate(starts), around))
         hits = np.zeros(len(at), np.int32)
-        exact = np.ones(len(at), bool)
-        for j in range(len(run)):
-            own = lists.get(int(run[j]), none)
-            hits += _close(at + j, own, slack)
-            exact &= _in(at + j, own)
-        good = hits >= most
-        if good.any():
-            out += [(r, at[good & exact], False), (r, at[good & ~exact], True)]
+        for n, j in enumerate(order):
+            hits += _close(at + j, lists.get(run[j], none), slack)
+            if n >= items.words - most:  # what is too far behind is left out
+                keep = hits >= most - (items.words - 1 - n)
+                if not keep.all():
+                    at, hits = at[keep], hits[keep]
+                    if not len(at):
+                        break
+        if len(at):
+            exact = np.ones(len(at), bool)
+            for j in order:
+                exact &= _in(at + j, lists.get(run[j], none))
+            out += [(r, at[exact], False), (r, at[~exact], True)]
     return out
 
 
@@ -150,7 +181,10 @@ def _in(x: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 
 
 def _close(x: np.ndarray, sorted_list: np.ndarray, slack: int) -> np.ndarray:
-    return np.searchsorted(sorted_list, x + slack, side="right") > np.searchsorted(sorted_list, x - slack)
+    if not len(sorted_list):
+        return np.zeros(len(x), bool)
+    p = np.searchsorted(sorted_list, x - slack)
+    return (p < len(sorted_list)) & (sorted_list[np.minimum(p, len(sorted_list) - 1)] <= x + slack)
 
 
 def _near(x: np.ndarray, y: np.ndarray, shift: int, slack: int) -> np.ndarray:
@@ -226,12 +260,15 @@ def _summary(hits: pd.DataFrame, words: int, lengths: dict[int, int]) -> pd.Data
     new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (s[1:] != s[:-1] + 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(s)] - 1
-    runs = pd.DataFrame({"doc": d[first], "item_id": i[first], "a": s[first], "b": s[last] + words, "near": hits["near"].to_numpy()[first]})
-    rows = []
-    for (doc, item), g in runs.groupby(["doc", "item_id"], sort=False):
-        covered, end = 0, 0
-        for a, b in sorted(zip(g["a"], g["b"])):
-            covered += max(0, b - max(a, end))
-            end = max(end, b)
-        rows.append((doc, item, int((g["b"] - g["a"]).max()), round(covered / lengths[item], 4), "near" if g["near"].all() else "exact"))
+    near = np.logical_and.reduceat(hits["near"].to_numpy(bool), first)
+    a, b = s[first], s[last] + words
+    order = np.lexsort((b, a, i[first], d[first]))
+    runs: dict[tuple, list] = {}
+    for doc, item, start, stop, far in zip(*(x[order].tolist() for x in (d[first], i[first], a, b, near))):
+        g = runs.setdefault((doc, item), [0, 0, 0, True])  # longest, covered, end, near
+        g[0] = max(g[0], stop - start)
+        g[1] += max(0, stop - max(start, g[2]))
+        g[2] = max(g[2], stop)
+        g[3] &= far
+    rows = [(doc, item, longest, round(covered / lengths[item], 4), "near" if far else "exact") for (doc, item), (longest, covered, _, far) in runs.items()]
     return pd.DataFrame(rows, columns=["doc", "item_id", "longest", "coverage", "kind"])

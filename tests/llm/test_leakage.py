@@ -76,3 +76,39 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert leaks(docs, spark.createDataFrame([(1, "a " * 12)], "item_id long, text string")).count() == 0
     assert leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def brute_near(docs, items, n=10, slack=2, most=8):
+    """Every place in every document, counting the words near theirs."""
+    out = set()
+    for d, t in docs:
+        w = terms_of(t or "")
+        for i, text in items:
+            own = terms_of(text or "")
+            for s in range(len(own) - n + 1):
+                for at in range(-n, len(w) + n):
+                    if sum(own[s + j] in w[max(0, at + j - slack) : max(0, at + j + slack + 1)] for j in range(n)) >= most:
+                        out.add((d, i))
+    return out
+
+
+def changed(seed, count):
+    """Lone passages with two words changed, in documents with words of their own around them."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(40)] + [f"rare{k}" for k in range(400)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(10, 14)))) for i in range(count)]
+    docs = []
+    for d in range(3 * count):
+        w = terms_of(items[d % count][1])[:10]
+        for j in r.sample(range(10), 2 + (d % 7 == 0)):
+            w[j] = r.choice(["other", "w1", f"new{d}"])
+        if d % 4 == 1:
+            w.insert(r.randrange(10), "extra")
+        docs.append((d, " ".join([f"o{r.randrange(50)}" for _ in range(20)] + w + [r.choice(words) for _ in range(20)])))
+    return docs, items
+
+
+def test_changed_rare_words_equal_brute_force(spark):
+    docs, items = changed(3, 25)
+    got = {(r.doc, r.item_id) for r in run(spark, docs, items, slack=2, most=8).collect()}
+    assert got == brute_near(docs, items) and len(got) > 50
