@@ -48,8 +48,8 @@ def terms_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def build_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> Stage:
-    """The stored index of the terms in `vocabulary`, a row a shard."""
+def build_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], gap: int = _GAP) -> Stage:
+    """The stored index of the terms in `vocabulary`, a row a shard; `gap` places lie between two documents."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,8 +72,8 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]
                 found = np.fromiter((get(w, -1) for w in WORD.findall(t.lower())), np.int32)
                 ids.append(i)
                 starts.append(at)
-                seen.append(np.concatenate([found, np.full(_GAP, -1, np.int32)]))
-                at += len(found) + _GAP
+                seen.append(np.concatenate([found, np.full(gap, -1, np.int32)]))
+                at += len(found) + gap
                 if at >= SHARD_TOKENS:
                     yield shard()
                     ids, starts, seen, at = [], [], [], 0
@@ -219,7 +219,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         coded = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in t]) for i, t in tokens if len(t) >= words]
         if not coded:
             continue
-        index = build_index(docs, key, text, vocabulary)
+        index = build_index(docs, key, text, vocabulary, max(_GAP, words + 2 * slack))
         counts = index.df.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # a row a term of the items
         frequency = np.zeros(len(vocabulary), np.int64)
         for t, n in counts:
@@ -239,7 +239,9 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     run = np.concatenate([np.full(len(at), r) for r, at, _ in found])
                     at = np.concatenate([at for _, at, _ in found])
                     near = np.concatenate([np.full(len(at), k) for _, at, k in found])
-                    doc = np.searchsorted(shard["starts"], np.maximum(at, 0), side="right") - 1
+                    # A run can begin in the gap before its document, if its first words are missing or displaced; the
+                    # last place it can reach is never in another document, as gaps are wider than a run with its slack.
+                    doc = np.searchsorted(shard["starts"], at + own.words - 1 + slack, side="right") - 1
                     hits = pd.DataFrame({"doc": shard["docs"][doc], "item_id": own.ids[own.item[run]], "line": at - own.start[run], "start": own.start[run], "near": near})
                     yield _summary(hits, own.words, lengths)
 
@@ -255,12 +257,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def _summary(hits: pd.DataFrame, words: int, lengths: dict[int, int]) -> pd.DataFrame:
-    hits = hits.drop_duplicates().sort_values(["doc", "item_id", "line", "start"], kind="stable")
-    d, i, n, s = (hits[c].to_numpy() for c in ("doc", "item_id", "line", "start"))
+    d, i, n, s, far = (hits[c].to_numpy() for c in ("doc", "item_id", "line", "start", "near"))
+    order = np.lexsort((s, n, i, d))
+    d, i, n, s, far = d[order], i[order], n[order], s[order], far[order].astype(bool)
+    # a repeated document or item id repeats its places
+    once = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (s[1:] != s[:-1])]
+    far = np.logical_and.reduceat(far, np.flatnonzero(once))
+    d, i, n, s = d[once], i[once], n[once], s[once]
     new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (s[1:] != s[:-1] + 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(s)] - 1
-    near = np.logical_and.reduceat(hits["near"].to_numpy(bool), first)
+    near = np.logical_and.reduceat(far, first)
     a, b = s[first], s[last] + words
     order = np.lexsort((b, a, i[first], d[first]))
     runs: dict[tuple, list] = {}

@@ -112,3 +112,17 @@ def test_changed_rare_words_equal_brute_force(spark):
     docs, items = changed(3, 25)
     got = {(r.doc, r.item_id) for r in run(spark, docs, items, slack=2, most=8).collect()}
     assert got == brute_near(docs, items) and len(got) > 50
+
+
+def test_passage_without_its_first_words_belongs_to_its_document(spark):
+    item = " ".join(f"t{k}" for k in range(10))
+    w = item.split()
+    docs = [(d, " ".join(w[1 + d % 3 % 2 :]) if d % 3 else "innocent words") for d in range(90)]  # several in each shard
+    got = run(spark, docs, [(1, item)], slack=2, most=8).collect()
+    assert {r.doc for r in got} == {d for d in range(90) if d % 3}
+
+
+def test_long_runs_do_not_reach_over_the_gap(spark):
+    w = [f"t{k}" for k in range(90)]
+    docs = [(d, " ".join(w[76:] if d % 2 else w[:12])) for d in range(90)]
+    assert run(spark, docs, [(1, " ".join(w))], words=90, slack=2, most=20).count() == 0
