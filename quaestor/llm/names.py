@@ -1,20 +1,28 @@
 """Variant spellings of names typed by people.
 
 Names are brought to one alphabet (look-alike letters put right, Cyrillic written in
-Latin letters, the usual romanisations folded together) and cut into parts.  Parts
-are vectors of weighted character trigrams.  A distributed sparse similarity join
-finds, for every part of every typed name, the surnames of profiles with a cosine of
-at least THRESHOLD: both sides are joined on the trigrams that remain after dropping
-the commonest ones of each vector whose squared weights sum to less than the square
-of the threshold, which loses no pair, and the cosine of the pairs met is computed
-in full.  Every such pair is kept; there is no limit of candidates.
-
-Grouping is by average linkage with the profiles as seeds: two profiles never merge,
-so a typed record, which is the group of its spellings (name and English name), joins
-the profile with the highest average agreement between its spellings and the
-profile's name, if no spelling contradicts it (another given name or patronymic than
-an abbreviation, a nickname or a typing error can explain) and no other profile
-agrees as well.
+Latin letters, the usual romanisations folded together) and cut into parts.  A name,
+with all its parts and spellings, is one vector of weighted character n-grams; an
+initial shares a gram with every part that begins with it, and a short form carries
+the grams of the full names it stands for.  Weights fall with the number of names that
+hold a gram and stop rising at RARE of all names, so that a typing error, whose grams
+are rare by accident, does not outweigh what is spelled right.
+
+A distributed sparse join finds all pairs of names with a cosine of at least THRESHOLD.
+Each name is sent to the postings of its rarest grams only: those that remain when the
+commonest grams whose squared weights sum to less than the square of the threshold are
+dropped, which loses no pair.  What is shuffled is a row a name and kept gram, never a
+pair.  In a posting, dense sketches (an upper bound of the cosine) and the norms of what
+is left of two vectors rule pairs out before the cosine is computed in full.  A posting
+of more than BLOCK names is cut into blocks and each pair of blocks is a cell of its own.
+
+Pairs that contradict each other (another given name or patronymic than an
+abbreviation, a nickname or a typing error can explain) are no pairs.  Of the others
+each name keeps its TOP best.  They are grouped by average linkage, in rounds that merge
+all pairs of groups that are each other's nearest; a pair that was not kept counts as
+0, up to as many pairs as can be kept, and groups stay apart if each holds a profile.  A record is linked to the
+profile of its group if an exact check agrees: no other profile explains the spellings
+as well, and the surname is near enough for what is written out of the rest.
 
 Defined results: records without a usable name, and names of a single part, link to
 nobody; records equal in both names link alike; if several profiles fit equally well
@@ -25,17 +33,29 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.plans.lineage import cut
+from quaestor.plans.lineage import Stage, cut
 
-THRESHOLD, MAX_COST = 0.35, 4.5
+#: Least cosine of a pair, least average cosine of two groups that merge, partners kept a name, highest cost of a link.
+THRESHOLD, MERGE, TOP, MAX_COST = 0.5, 0.25, 32, 4.5
+#: Length of the grams; share of the names below which a gram's weight stops rising.
+GRAM, RARE = 4, 0.005
+#: Grams are numbered by a hash of this many bits, so their counts have a fixed size.
+GRAM_BITS, SKETCH = 20, 64
+#: Names of a posting that meet in one task.
+BLOCK = 8192
+#: So few edges of the linkage are merged in one task; more are merged in distributed rounds until so few are open.
+LOCAL_EDGES = 2_000_000
 
 #: Letters that look alike, and Latin writing of Cyrillic letters (folded).
 _LOOK_CYRILLIC = str.maketrans("aeopcyxkmthbABEKMHOPCTXY", "аеорсухкмтнвАВЕКМНОРСТХУ")
@@ -92,22 +112,39 @@ def _part(raw: str, short: bool) -> Part | None:
     return Part(text, other, short, _INITIAL.get(low[0], _INITIAL.get(text, text)))
 
 
-@lru_cache(maxsize=200_000)
+#: Particles of surnames, which writers keep or leave out.
+_PARTICLES = frozenset("van von der den ter ten zu de del della di da dos das du la le bin ibn".split())
+
+
 def parts_of(name: str) -> tuple[Part, ...]:
     spaced = re.sub(r"(?<=[а-яёіїєґa-z])(?=[А-ЯЁІЇЄҐA-Z])", " ", name or "")  # glued initials
     glued = spaced != name
-    out = []
+    out: list[tuple[Part | None, bool]] = []
     for m in re.finditer(r"[^\W\d_]+(?:['’`ʼ-][^\W\d_]+)*['’`ʼ]?(\.)?", spaced):
         raw = m[0].rstrip(".")
         if glued and len(raw) == 2 and raw.isupper():
-            out += [_part(c, True) for c in raw]
+            out += [(_part(c, True), False) for c in raw]
             continue
         cyrillic = len(re.findall("[а-яёіїєґ]", raw, re.I))
         latin = len(re.findall("[a-z]", raw, re.I))
         if cyrillic and latin:
             raw = raw.translate(_LOOK_CYRILLIC if cyrillic >= latin or re.search("[бгджзийлпфцчшщъыьэюя]", raw, re.I) else _LOOK_LATIN)
-        out.append(_part(raw, bool(m[1]) and len(raw) <= 5 or len(raw) == 1))
-    return tuple(p for p in out if p)
+        out.append((_part(raw, bool(m[1]) and len(raw) <= 5 or len(raw) == 1), raw.lower() in _PARTICLES))
+    parts = [x for x in out if x[0]]
+    plain = [x for x in parts if not x[1]]
+    return tuple(p for p, _ in (plain if len(plain) >= 2 else parts))
+
+
+def canonical(name: str | None) -> str:
+    """The parts of a name as one string; "" for a blank name, "?" for one without letters."""
+    if not name or not name.strip():
+        return ""
+    return " ".join(f"{p.text},{p.other},{p.short:d},{p.letters}" for p in parts_of(name)) or "?"
+
+
+@lru_cache(maxsize=200_000)
+def parsed(form: str) -> tuple[Part, ...]:
+    return tuple(Part(t, o, s == "1", x) for t, o, s, x in (p.split(",") for p in form.split(" ") if "," in p))
 
 
 _NICK: dict[str, set[str]] = {}
@@ -117,13 +154,17 @@ for _full, _nicks in _SHORT.items():
 
 
 def profile_name(name: str) -> tuple[str, str, str] | None:
-    """(surname, given, patronymic) of a profile; Latin names have the surname last."""
+    """(surname, given, patronymic) of a profile; Latin names have the surname last.
+
+    With more than three parts the surname is a compound of those that are left over.
+    """
     parts = [p.text for p in parts_of(name)]
     if len(parts) < 2:
         return None
     if re.search("[а-яё]", name, re.I):
-        return parts[0], parts[1], parts[2] if len(parts) > 2 else ""
-    return parts[-1], parts[0], parts[1] if len(parts) > 2 else ""
+        n = max(1, len(parts) - 2)
+        return "".join(parts[:n]), parts[n], parts[n + 1] if len(parts) > n + 1 else ""
+    return "".join(parts[2:]) or parts[1], parts[0], parts[1] if len(parts) > 2 else ""
 
 
 @lru_cache(maxsize=400_000)
@@ -178,27 +219,40 @@ def _fits(p: Part, full: str, most: int) -> float | None:
     return 1.0 * d if d <= most else None
 
 
-def agreement(name: str, surname: str, given: str, patronymic: str) -> tuple[float, bool] | None:
+def _readings(parts: tuple[Part, ...]) -> Iterator[tuple[Part, tuple[Part, ...]]]:
+    """Each part that can be the surname, or two neighbouring ones as a compound, and the parts that are left."""
+    if len(parts) <= 3:
+        for k, p in enumerate(parts):
+            if not p.short:
+                yield p, parts[:k] + parts[k + 1 :]
+    if 3 <= len(parts) <= 4:
+        for k, (p, q) in enumerate(zip(parts, parts[1:])):
+            if not (p.short or q.short):
+                yield Part(p.text + q.text, p.other + q.other, False, p.letters), parts[:k] + parts[k + 2 :]
+
+
+def agreement(parts: tuple[Part, ...], surname: str, given: str, patronymic: str) -> tuple[float, bool] | None:
     """(cost, sure) of a typed name as a spelling of a profile's name; None if it contradicts it.
 
     The less of the name is written out, the nearer the surname must be for the reading
     to be sure: two edits with given name and patronymic, one with the given name, none with initials.
     """
-    parts = parts_of(name)
-    if not 2 <= len(parts) <= 3:
+    if not 2 <= len(parts) <= 4:
         return None
     best = None
-    for k, p in enumerate(parts):
-        if p.short:
+    for p, rest in _readings(parts):
+        most = 2 if min(len(p.text), len(surname)) >= 7 else 1
+        if abs(len(p.text) - len(surname)) > most + 2:  # ia for я and doubled signs
             continue
-        d = closest(p, surname)
-        if d > (2 if min(len(p.text), len(surname)) >= 7 else 1):
-            continue
-        rest = parts[:k] + parts[k + 1 :]
         # the given name goes before the patronymic in every usual order
         a = _fits(rest[0], given, 1 if max(len(rest[0].text), len(given)) < 7 else 2)
+        if a is None:
+            continue
         b = 0.0 if len(rest) == 1 else _fits(rest[1], patronymic, 1) if patronymic else None
-        if a is None or b is None:
+        if b is None:
+            continue
+        d = closest(p, surname)
+        if d > most:
             continue
         written = 0 if rest[0].short else 1 if len(rest) == 1 or rest[1].short else 2
         cost = 1.2 * d + a + b
@@ -207,90 +261,379 @@ def agreement(name: str, surname: str, given: str, patronymic: str) -> tuple[flo
     return best
 
 
-def _vectors(words: DataFrame, weights: DataFrame) -> DataFrame:
-    """(w, gram, x): unit vectors of the words."""
-    grams = words.select("w", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(w)), i -> substring(concat('^', w, '$'), i, 3))"))).alias("gram"))
-    raw = grams.join(weights, "gram")
-    norm = raw.groupBy("w").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("n"))
-    return raw.join(norm, "w").select("w", "gram", (F.col("idf") / F.col("n")).alias("x"))
-
-
-def _rare(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Without the commonest trigrams of each word that can't reach the threshold by themselves."""
-    order = Window.partitionBy("w").orderBy("x", "gram").rowsBetween(Window.unboundedPreceding, 0)  # at most a word's length
-    return vectors.withColumn("s", F.sum(F.col("x") * F.col("x")).over(order)).where(F.col("s") >= threshold * threshold - 1e-9).drop("s")
+def _match(p: Part, q: Part) -> bool:
+    """Whether two parts can stand for one given name or patronymic."""
+    if p.text == q.text:
+        return True
+    if len(p.text) == 1 and len(q.text) == 1:
+        return not set(p.letters).isdisjoint(q.letters)
+    if q.short or len(q.text) < len(p.text):
+        p, q = q, p
+    return _fits(p, q.text, 1) is not None or _fits(q, p.text, 1) is not None
 
 
-def similar_words(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, gap: int | None = None) -> DataFrame:
-    """(a, b, cosine): all pairs of distinct words of two tables (w) with trigram cosine >= threshold.
-
-    gap: only pairs whose lengths differ by no more, for callers that bound the edits between them.
+@lru_cache(maxsize=100_000)
+def alike(a: str, b: str) -> bool:
+    """Whether two typed names (canonical) can be spellings of one name."""
+    if a == b:
+        return True
+    for p, rest in _readings(parsed(a)):
+        for q, other in _readings(parsed(b)):
+            most = 2 if min(len(p.text), len(q.text)) >= 7 else 1
+            if rest and other and abs(len(p.text) - len(q.text)) <= most + 2 and all(map(_match, rest, other)) and closest(p, q.text) <= most:
+                return True
+    return False
+
+
+@lru_cache(maxsize=100_000)
+def _word_grams(text: str) -> tuple[int, ...]:
+    s = f"^{text}$"
+    return tuple({zlib.crc32(s[i : i + GRAM].encode()) >> 32 - GRAM_BITS for i in range(max(1, len(s) - GRAM + 1))})
+
+
+@lru_cache(maxsize=10_000)
+def _first_gram(c: str) -> int:
+    return zlib.crc32(f"^{c}.".encode()) >> 32 - GRAM_BITS
+
+
+def grams_of(forms: tuple[str, ...]) -> np.ndarray:
+    """Distinct gram numbers of a name over its canonical spellings."""
+    out: set[int] = set()
+    for form in forms:
+        for p in parsed(form):
+            if p.short or len(p.text) < 2:
+                out.update(map(_first_gram, p.letters))
+                continue
+            for t in {p.text, p.other} | _NICK.get(p.text, set()) | _NICK.get(p.other, set()):
+                out.update(_word_grams(t))
+                out.add(_first_gram(t[0]))
+    return np.fromiter(sorted(out), np.int64)
+
+
+class Weights(NamedTuple):
+    """Names that hold each gram, and the number of names."""
+
+    count: np.ndarray
+    names: int
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return np.log1p(1 / np.maximum(RARE, self.count[grams] / max(1, self.names))) ** 2
+
+
+def _counted(nodes: DataFrame) -> Weights:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [grams_of(f) for f in zip(*(batch.column(c).to_pylist() for c in (1, 2)))]
+            g, n = np.unique(np.concatenate([*own, np.full(len(own), -1)]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(g, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    out, names = np.zeros(1 << GRAM_BITS, np.int64), 0
+    for g, n in nodes.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect():  # at most 2 ** GRAM_BITS + 1 rows
+        if g < 0:
+            names = n
+        else:
+            out[g] = n
+    return Weights(out, names)
+
+
+_NODE = "node long, c1 string, c2 string, profile boolean"
+_POSTING = "cell long, far boolean, node long, c1 string, c2 string, profile boolean, grams binary, left float"
+_EDGE = "a long, b long, profile boolean, cosine double, cost double, sure boolean"
+
+
+class _Rows:
+    """Rows of whole cells: names with their grams, weights and sketches."""
+
+    def __init__(self, table: pa.Table, weights: Weights):
+        self.cell, self.far, self.node, self.profile, self.left = (table.column(c).to_numpy() for c in ("cell", "far", "node", "profile", "left"))
+        self.forms = list(zip(table.column("c1").to_pylist(), table.column("c2").to_pylist()))
+        packed = table.column("grams").to_pylist()
+        self.size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        self.start = np.cumsum(self.size) - self.size
+        self.gram = np.frombuffer(b"".join(packed), np.int32).astype(np.int64)  # rarest first
+        row = np.repeat(np.arange(len(packed)), self.size)
+        w = weights.of(self.gram)
+        self.weight = w / np.sqrt(np.bincount(row, w * w, len(packed)))[row]
+        self.sketch = np.bincount(row * SKETCH + (self.gram * 40503 >> 7) % SKETCH, self.weight, len(packed) * SKETCH).reshape(-1, SKETCH).astype(np.float32)
+        code = row << GRAM_BITS | self.gram
+        order = np.argsort(code)
+        self.code, self.by_code = code[order], self.weight[order]
+
+    def candidates(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of one cell that sketches and remaining norms don't rule out."""
+        edge = np.flatnonzero(np.diff(self.cell)) + 1
+        out = []
+        for a, b in zip(np.r_[0, edge], np.r_[edge, len(self.cell)]):
+            if b - a < 2:
+                continue
+            cross = (self.cell[a] >> 16 & 0xFFFF) != (self.cell[a] & 0xFFFF)
+            for x in range(a, b, 2048):
+                y = min(b, x + 2048)
+                near = self.sketch[x:y] @ self.sketch[a:b].T >= threshold - 1e-5
+                near &= np.multiply.outer(self.left[x:y], self.left[a:b]) >= threshold - 1e-5
+                i, j = np.nonzero(near)
+                i, j = i + x, j + a
+                keep = (i < j) & ~(self.profile[i] & self.profile[j])
+                if cross:
+                    keep &= self.far[i] != self.far[j]
+                out.append((i[keep], j[keep]))
+        return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+    def cosines(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine of each pair, and whether the cell's gram is the rarest they share (so a pair counts in one cell)."""
+        n = self.size[i]
+        pair = np.repeat(np.arange(len(i)), n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[i], n)
+        code = j[pair] << GRAM_BITS | self.gram[at]
+        p = np.searchsorted(self.code, code)
+        p[p == len(self.code)] = 0
+        hit = self.code[p] == code
+        cosine = np.bincount(pair[hit], self.weight[at[hit]] * self.by_code[p[hit]], len(i))
+        first = np.full(len(i), -1)
+        first[pair[hit][::-1]] = self.gram[at[hit][::-1]]
+        return cosine, first == self.cell[i] >> 32
+
+
+def _judged(rows: _Rows, i: int, j: int) -> tuple[float, bool] | None:
+    """(cost, sure) of a pair that does not contradict itself; cost 0 between typed names."""
+    if rows.profile[i]:
+        i, j = j, i
+    own, other = ([f for f in rows.forms[x] if f] for x in (i, j))
+    if rows.profile[j]:
+        name = [p.text for p in parsed(other[0])]
+        costs = [agreement(parsed(f), name[0], name[1], name[2] if len(name) > 2 else "") for f in own]
+        if None in costs or not costs:
+            return None
+        return round(sum(c for c, _ in costs) / len(costs), 4), any(sure for _, sure in costs)
+    return (0.0, False) if all(alike(x, y) for x in own for y in other) else None
+
+
+def similar_names(nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, judged: bool = True) -> DataFrame:
+    """(a, b, profile, cosine, cost, sure): all pairs of names with cosine >= threshold that don't contradict each other.
+
+    nodes: (node, c1, c2, profile).  a is a typed name; b is a profile (profile = true)
+    or another typed name with a higher number.  judged=False leaves contradictions in.
     """
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = left.select("w").union(right.select("w")).distinct()
-    grams = every.select("w", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(w)), i -> substring(concat('^', w, '$'), i, 3))"))).alias("gram"))
-    n = max(1, every.count())
-    weights = cut(grams.groupBy("gram").agg(F.sqrt(F.log(1 + F.lit(float(n)) / F.count("*"))).alias("idf")), "weights")
-    a, b = (cut(_vectors(x.select("w").distinct(), weights), "vectors") for x in (left, right))
-    # Few bytes meet and many pairs come out, so the number of tasks is not left to the size of the input.
-    x, y = (_rare(v, threshold).select(F.col("w").alias(name), "gram").repartition(tasks, "gram") for v, name in ((a, "a"), (b, "b")))
-    met = x.join(y, "gram")
-    if gap is not None:
-        met = met.where(F.abs(F.length("a") - F.length("b")) <= gap)
-    met = met.select("a", "b").distinct()
-    packed = lambda v, name: v.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("gram", "x"))).alias(name))
-    both = met.join(packed(a, "va").withColumnRenamed("w", "a"), "a").join(packed(b, "vb").withColumnRenamed("w", "b"), "b")
-    cosine = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, g: s + F.col("va")[g] * F.coalesce(F.try_element_at("vb", g), F.lit(0.0)))
-    return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
-
-
-_PROFILE = "person_id long, surname string, given string, patronymic string, letter string"
-_FORM = "name string, name_en string, w string, letter string"
-
-
-def link_names(profiles: DataFrame, typed: DataFrame) -> DataFrame:
-    """(name, name_en, person_id) for distinct typed (name, name_en); profiles has (person_id, full_name)."""
+    spark = nodes.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(_counted(nodes))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        blocks = np.minimum(-(-weights.count // block), 1 << 16)
+        for batch in batches:
+            cells: list[tuple[int, bool]] = []
+            take, grams, left = [], [], []
+            for r, (node, forms) in enumerate(zip(batch.column(0).to_pylist(), zip(*(batch.column(c).to_pylist() for c in (1, 2))))):
+                g = grams_of(forms)
+                if not len(g):
+                    continue
+                g = g[np.lexsort((g, weights.count[g]))]  # one order for all names: rarest first
+                w = weights.of(g)
+                rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1] / (w * w).sum())  # norm of what is left from each gram on
+                packed = g.astype(np.int32).tobytes()
+                for k in np.flatnonzero(rest >= threshold - 1e-6):
+                    n = int(blocks[g[k]])
+                    mine = zlib.crc32(node.to_bytes(8, "big")) % n
+                    for other in range(n):
+                        cells.append((int(g[k]) << 32 | min(mine, other) << 16 | max(mine, other), mine > other))
+                        take.append(r)
+                        grams.append(packed)
+                        left.append(rest[k])
+            some = batch.take(pa.array(take, pa.int32()))
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([c for c, _ in cells], pa.int64()), "far": pa.array([f for _, f in cells], pa.bool_()), "node": some.column(0), "c1": some.column(1), "c2": some.column(2), "profile": some.column(3), "grams": pa.array(grams, pa.binary()), "left": pa.array(left, pa.float32())})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+
+        def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = _Rows(table, weights)
+            left, right = rows.candidates(threshold)
+            for s in range(0, len(left), 100_000):
+                i, j = left[s : s + 100_000], right[s : s + 100_000]
+                cosine, first = rows.cosines(i, j)
+                out = []
+                for x, y, c in zip(*(v[(cosine >= threshold) & first].tolist() for v in (i, j, cosine))):
+                    if rows.node[x] == rows.node[y] or (found := _judged(rows, x, y) if judged else (0.0, False)) is None:
+                        continue
+                    if rows.profile[x] or not rows.profile[y] and rows.node[x] > rows.node[y]:
+                        x, y = y, x
+                    out.append((rows.node[x], rows.node[y], bool(rows.profile[y]), c, *found))
+                if out:
+                    yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "profile", "cosine", "cost", "sure"), map(list, zip(*out)))))
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:  # sorted by cell; a cell may go on in the next batch
+            held.append(batch)
+            size += len(batch)
+            table = pa.Table.from_batches(held)
+            cell = table.column("cell").to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1]))
+            if whole:
+                yield from answer(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield from answer(pa.Table.from_batches(held))
+
+    # Few bytes meet and much work comes of them, so the number of tasks is not left to the size of the input.
+    return nodes.mapInArrow(post, _POSTING).repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(search, _EDGE)
+
+
+def _merge_round(a: np.ndarray, b: np.ndarray, s: np.ndarray, size: np.ndarray, profile: np.ndarray, least: float, top: int):
+    """Pairs of groups that are each other's nearest; a, b, s: edges with their summed cosines."""
+    mean = s / np.minimum(size[a] * size[b], top * np.minimum(size[a], size[b]))
+    ok = np.flatnonzero((mean >= least) & ~((profile[a] >= 0) & (profile[b] >= 0)))
+    order = ok[np.lexsort((b[ok], a[ok], -mean[ok]))]
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.arange(len(order))
+    best = np.full(len(size), len(a))
+    np.minimum.at(best, a[ok], rank[ok])
+    np.minimum.at(best, b[ok], rank[ok])
+    return ok[(best[a[ok]] == rank[ok]) & (best[b[ok]] == rank[ok])]
+
+
+def linkage(a: np.ndarray, b: np.ndarray, s: np.ndarray, size: np.ndarray, profile: np.ndarray, least: float, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each of len(size) items by average linkage, and the profile (or -1) of each group.
+
+    Edges (a < b, summed cosine); groups with a profile each don't merge.  The average is
+    over all pairs of two groups, of which one without an edge counts 0, but over no more
+    than `top` for each member of the smaller, as no name keeps more.
+    """
+    group, size, profile = np.arange(len(size)), size.astype(float).copy(), profile.copy()
+    while len(a):
+        won = _merge_round(a, b, s, size, profile, least, top)
+        if not len(won):
+            break
+        to = np.arange(len(size))
+        to[b[won]] = a[won]
+        size[a[won]] += size[b[won]]
+        profile[a[won]] = np.maximum(profile[a[won]], profile[b[won]])
+        group = to[group]
+        a, b = to[a], to[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        keep = (a != b) & ~((profile[a] >= 0) & (profile[b] >= 0))
+        code, back = np.unique(a[keep] * len(size) + b[keep], return_inverse=True)
+        s = np.bincount(back, s[keep], len(code))
+        a, b = code // len(size), code % len(size)
+    return group, profile[group]
+
+
+_GROUP = "node long, group long, profile long"
+
+
+def _in_one_task(edges: DataFrame, least: float, top: int) -> DataFrame:
+    """(node, group, profile) for a bounded number of edges (a, b, s, size_a, size_b, profile_a, profile_b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if len(x)]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        a, b, s, na, nb, pa_, pb = (t.column(i).to_numpy() for i in range(7))
+        ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        size, profile = np.ones(len(ids)), np.full(len(ids), -1)
+        size[code], profile[code] = np.concatenate([na, nb]), np.concatenate([pa_, pb])
+        x, y = code[: len(a)], code[len(a) :]
+        group, own = linkage(np.minimum(x, y), np.maximum(x, y), s, size, profile, least, top)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(ids), "group": pa.array(ids[group]), "profile": pa.array(own)})
+
+    return edges.coalesce(1).mapInArrow(run, _GROUP)
+
+
+def grouped_names(edges: DataFrame, least: float = MERGE, top: int = TOP, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node, group, profile): average linkage over edges (a, b, profile, cosine); names without an edge are not listed.
+
+    Each round merges all pairs of groups that are each other's nearest.  Rounds are
+    joins over the open edges until at most `local` are left, which one task finishes.
+    """
+    none = F.lit(-1).cast("long")
+    open_ = cut(edges.select("a", "b", F.col("cosine").alias("s"), F.lit(1.0).alias("size_a"), F.lit(1.0).alias("size_b"), none.alias("profile_a"), F.when(F.col("profile"), F.col("b")).otherwise(none).alias("profile_b")), "edges")
+    names = open_.select(F.col("a").alias("node"), F.col("profile_a").alias("profile")).union(open_.select("b", "profile_b"))
+    groups = cut(names.groupBy("node").agg(F.max("profile").alias("profile")).select("node", F.col("node").alias("group"), "profile"), "groups")
+    while open_.count() > local:
+        mean = F.col("s") / F.least(F.col("size_a") * F.col("size_b"), top * F.least("size_a", "size_b"))
+        key = F.struct((-mean).alias("m"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        able = open_.where((mean >= least) & ((F.col("profile_a") < 0) | (F.col("profile_b") < 0))).withColumn("k", key)
+        best = able.select(F.explode(F.array("a", "b")).alias("g"), "k").groupBy("g").agg(F.min("k").alias("k"))
+        won = best.groupBy("k").agg(F.count("*").alias("n")).where("n = 2").select("k.x", "k.y")
+        moves = cut(won.select(F.col("y").alias("was"), F.col("x").alias("now")), "moves")
+        if moves.isEmpty():
+            break
+        facts = open_.select(F.col("a").alias("g"), F.col("size_a").alias("size"), F.col("profile_a").alias("p")).union(open_.select("b", "size_b", "profile_b")).distinct()
+        to = facts.join(moves.withColumnRenamed("was", "g"), "g", "left").withColumn("now", F.coalesce("now", "g"))
+        to = cut(to.join(to.groupBy("now").agg(F.sum("size").alias("sum"), F.max("p").alias("own")), "now").select("g", "now", "sum", "own"), "sizes")
+        side = lambda x: to.select(F.col("g").alias(x), F.col("now").alias(f"now_{x}"), F.col("sum").alias(f"size_{x}"), F.col("own").alias(f"profile_{x}"))
+        next_ = open_.select("a", "b", "s").join(side("a"), "a").join(side("b"), "b").where("now_a <> now_b and (profile_a < 0 or profile_b < 0)")
+        turn = F.col("now_a") > F.col("now_b")
+        pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+        next_ = next_.select(pick("now_a", "now_b").alias("a"), pick("now_b", "now_a").alias("b"), "s", pick("size_a", "size_b").alias("size_a"), pick("size_b", "size_a").alias("size_b"), pick("profile_a", "profile_b").alias("profile_a"), pick("profile_b", "profile_a").alias("profile_b"))
+        open_ = cut(next_.groupBy("a", "b").agg(F.sum("s").alias("s"), *[F.first(c).alias(c) for c in ("size_a", "size_b", "profile_a", "profile_b")]), "edges")
+        moved = groups.join(to.select(F.col("g").alias("group"), "now", "own"), "group", "left")
+        groups = cut(moved.select("node", F.coalesce("now", "group").alias("group"), F.greatest("profile", F.coalesce("own", none)).alias("profile")), "groups")
+    rest = _in_one_task(open_, least, top).select(F.col("node").alias("group"), F.col("group").alias("now"), F.col("profile").alias("own"))
+    done = groups.join(rest, "group", "left")
+    return cut(done.select("node", F.coalesce("now", "group").alias("group"), F.greatest("profile", F.coalesce("own", none)).alias("profile")), "grouped")
+
+
+class Names(NamedTuple):
+    """What the linkage works on: typed spellings and people with the numbers of their names, pairs kept, groups."""
+
+    forms: DataFrame
+    people: DataFrame
+    edges: DataFrame
+    groups: DataFrame
+
+
+def prepared(profiles: DataFrame, typed: DataFrame, threshold: float = THRESHOLD, least: float = MERGE, top: int = TOP, local: int = LOCAL_EDGES) -> Names:
+    """profiles has (person_id, full_name), typed has (name, name_en)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *p, p[1][0]) for i, n in zip(b["person_id"], b["full_name"]) if isinstance(n, str) and (p := profile_name(n))]
-            yield pd.DataFrame(rows, columns=["person_id", "surname", "given", "patronymic", "letter"])
+            rows = [(i, " ".join(f"{x},{x},0,{x[0]}" for x in p if x)) for i, n in zip(b["person_id"], b["full_name"]) if isinstance(n, str) and (p := profile_name(n))]
+            yield pd.DataFrame(rows, columns=["person_id", "c1"])
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for name, name_en in zip(b["name"], b["name_en"]):
-                parts = parts_of(name) or parts_of(name_en)
-                if not 2 <= len(parts) <= 3:
-                    continue
-                for k, p in enumerate(parts):
-                    if p.short or len(p.text) < 2:
-                        continue
-                    others = [q for j, q in enumerate(parts) if j != k]
-                    letters = {x for q in others for x in q.letters} | {f[0] for q in others for r in (q.text, q.other) for f in _NICK.get(r, ())}
-                    rows += [(name, name_en, w, x) for w in {p.text, p.other} for x in letters]
-            yield pd.DataFrame(rows, columns=["name", "name_en", "w", "letter"]).drop_duplicates()
-
-    people = cut(profiles.select("person_id", "full_name").where("person_id is not null and full_name is not null").distinct().mapInPandas(read, _PROFILE), "profiles")
-    forms = cut(typed.select("name", "name_en").distinct().mapInPandas(spell, _FORM), "forms")
-    pairs = similar_words(forms.select("w").distinct(), people.select(F.col("surname").alias("w")).distinct(), gap=4)
-    pairs = pairs.where(F.levenshtein("a", "b", 4) >= 0).withColumnsRenamed({"a": "w", "b": "surname"})
-    met = forms.join(pairs, "w").join(people, ["surname", "letter"])
-    met = met.select("name", "name_en", "person_id", "surname", "given", "patronymic").distinct()
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                costs = [agreement(x, r.surname, r.given, r.patronymic) for x in (r.name, r.name_en) if x]
-                if costs and None not in costs and any(sure for _, sure in costs):
-                    rows.append((r.name, r.name_en, r.person_id, round(sum(c for c, _ in costs) / len(costs), 4)))
-            yield pd.DataFrame(rows, columns=["name", "name_en", "person_id", "cost"])
-
-    fit = cut(met.mapInPandas(judge, "name string, name_en string, person_id long, cost double").where(F.col("cost") <= MAX_COST), "fit")
-    best = fit.groupBy("name", "name_en").agg(F.min(F.struct("cost", "person_id")).alias("m"), F.min("cost").alias("least"))
-    ties = fit.join(best.select("name", "name_en", "least"), ["name", "name_en"]).where("cost <= least + 0.05").groupBy("name", "name_en").agg(F.count("*").alias("n"))
-    return best.join(ties, ["name", "name_en"]).where("n = 1").select("name", "name_en", F.col("m.person_id").alias("person_id"))
+            yield b.assign(c1=[canonical(x) for x in b["name"]], c2=[canonical(x) for x in b["name_en"]])
+
+    people = cut(profiles.select("person_id", "full_name").where("person_id is not null and full_name is not null").distinct().mapInPandas(read, "person_id long, c1 string"), "people")
+    forms = cut(typed.select("name", "name_en").distinct().mapInPandas(spell, "name string, name_en string, c1 string, c2 string"), "forms")
+    nodes = people.select("c1", F.lit("").alias("c2"), F.lit(True).alias("profile")).union(forms.select("c1", "c2", F.lit(False))).distinct()
+    nodes = Stage(nodes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "profile"), "names").df
+    every = cut(similar_names(nodes, threshold), "pairs")
+    # The best partners of each name: profiles by cost, as the check asks for the two cheapest, typed names by cosine.
+    by_cost = Window.partitionBy("a").orderBy("cost", F.col("cosine").desc(), "b")
+    seeds = every.where("profile").withColumn("_r", F.row_number().over(by_cost)).where(F.col("_r") <= top).drop("_r")
+    by_cosine = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
+    both = every.where("not profile").select("a", "b", "cosine")
+    best = both.union(both.select(F.col("b"), F.col("a"), "cosine")).withColumn("_r", F.row_number().over(by_cosine)).where(F.col("_r") <= top)
+    others = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("profile"), "cosine").distinct()
+    edges = cut(seeds.unionByName(others, allowMissingColumns=True), "kept")
+    number = lambda x: nodes.where("profile" if x else "not profile")
+    forms = cut(forms.join(number(False).select("node", "c1", "c2"), ["c1", "c2"]).select("node", "name", "name_en"), "numbered")
+    people = cut(people.join(number(True).select("node", "c1"), "c1").select("node", "person_id"), "numbered")
+    return Names(forms, people, edges, grouped_names(edges, least, top, local))
+
+
+def link_names(profiles: DataFrame, typed: DataFrame, threshold: float = THRESHOLD, least: float = MERGE, top: int = TOP, local: int = LOCAL_EDGES) -> DataFrame:
+    """(name, name_en, person_id) for distinct typed (name, name_en); profiles has (person_id, full_name)."""
+    names = prepared(profiles, typed, threshold, least, top, local)
+    fit = names.edges.where(F.col("profile") & F.col("sure") & (F.col("cost") <= MAX_COST)).select("a", "b", "cost")
+    # One profile explains the name best; at most `top` rows a name.
+    fit = fit.withColumn("least", F.min("cost").over(Window.partitionBy("a"))).where("cost <= least + 0.05")
+    sole = fit.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+    linked = sole.join(names.groups.select(F.col("node").alias("a"), F.col("profile").alias("b")), ["a", "b"]).select(F.col("a").alias("node"), "b")
+    alone = names.people.groupBy(F.col("node").alias("b")).agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("n")).where("n = 1")
+    return names.forms.join(linked, "node").join(alone, "b").select("name", "name_en", "person_id")
+
+
+def name_groups(profiles: DataFrame, typed: DataFrame) -> DataFrame:
+    """(name, name_en, group, n_links): the group of every typed name and how many names it is alike to."""
+    names = prepared(profiles, typed)
+    degree = names.edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    found = names.forms.join(names.groups.select("node", "group"), "node", "left").join(degree, "node", "left")
+    return found.select("name", "name_en", F.coalesce("group", "node").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def linked_records(persons: DataFrame, authorships: DataFrame, supervisors: DataFrame) -> DataFrame:
