@@ -44,14 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.operators.skew import salted_join
 from quaestor.plans.lineage import Stage, cut
 
 #: Least cosine of a pair, least average cosine of two groups that merge, partners kept a name, highest cost of a link.
-THRESHOLD, MERGE, TOP, MAX_COST = 0.5, 0.25, 32, 4.5
-#: Length of the grams; share of the names below which a gram's weight stops rising.
-GRAM, RARE = 4, 0.005
+THRESHOLD, MERGE, TOP, MAX_COST = 0.42, 0.25, 32, 4.5
+#: Length of the grams; share of the names below which a gram's weight stops rising; names that are added to the counts.
+GRAM, RARE, VIRTUAL = 4, 0.005, 1000
 #: Grams are numbered by a hash of this many bits, so their counts have a fixed size.
-GRAM_BITS, SKETCH = 20, 64
+GRAM_BITS, SKETCH = 20, 256
 #: Names of a posting that meet in one task.
 BLOCK = 8192
 #: So few edges of the linkage are merged in one task; more are merged in distributed rounds until so few are open.
@@ -92,6 +93,10 @@ def _single(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1", s)
 
 
+def _wide(s: str) -> str:
+    return s.replace("я", "ia").replace("ю", "iu")
+
+
 class Part(NamedTuple):
     text: str
     #: another reading, where Latin J may be Ж
@@ -172,7 +177,8 @@ def distance(a: str, b: str, most: int = 3) -> int:
     """Edits with exchange of neighbours; most + 1 if more."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    # an edit changes the set of letters by two at most
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -189,18 +195,21 @@ def distance(a: str, b: str, most: int = 3) -> int:
 
 
 @lru_cache(maxsize=400_000)
-def _closest(a: str, b: str) -> int:
-    d = distance(a, b)
+def _closest(a: str, b: str, most: int) -> int:
+    d = distance(a, b, most)
     if d < 2:
         return d
-    wide = lambda s: s.replace("я", "ia").replace("ю", "iu")
-    return min(d, distance(_single(a), _single(b)), distance(wide(a), wide(b)))
+    for way in (_single, _wide):
+        x, y = way(a), way(b)
+        if (x, y) != (a, b):
+            d = min(d, distance(x, y, most))
+    return d
 
 
-def closest(p: Part, full: str) -> int:
+def closest(p: Part, full: str, most: int = 3) -> int:
     """Fewest edits between a part and a name over the ways to read them: doubled signs as one, ia for я, J as Ж."""
-    d = _closest(p.text, full)
-    return d if d < 2 or p.other == p.text else min(d, _closest(p.other, full))
+    d = _closest(p.text, full, most)
+    return d if d < 2 or p.other == p.text else min(d, _closest(p.other, full, most))
 
 
 def _fits(p: Part, full: str, most: int) -> float | None:
@@ -215,7 +224,7 @@ def _fits(p: Part, full: str, most: int) -> float | None:
         return 0.4
     if p.short or len(p.text) < 3:
         return None
-    d = closest(p, full)
+    d = closest(p, full, most)
     return 1.0 * d if d <= most else None
 
 
@@ -251,7 +260,7 @@ def agreement(parts: tuple[Part, ...], surname: str, given: str, patronymic: str
         b = 0.0 if len(rest) == 1 else _fits(rest[1], patronymic, 1) if patronymic else None
         if b is None:
             continue
-        d = closest(p, surname)
+        d = closest(p, surname, most)
         if d > most:
             continue
         written = 0 if rest[0].short else 1 if len(rest) == 1 or rest[1].short else 2
@@ -261,6 +270,7 @@ def agreement(parts: tuple[Part, ...], surname: str, given: str, patronymic: str
     return best
 
 
+@lru_cache(maxsize=400_000)
 def _match(p: Part, q: Part) -> bool:
     """Whether two parts can stand for one given name or patronymic."""
     if p.text == q.text:
@@ -280,7 +290,7 @@ def alike(a: str, b: str) -> bool:
     for p, rest in _readings(parsed(a)):
         for q, other in _readings(parsed(b)):
             most = 2 if min(len(p.text), len(q.text)) >= 7 else 1
-            if rest and other and abs(len(p.text) - len(q.text)) <= most + 2 and all(map(_match, rest, other)) and closest(p, q.text) <= most:
+            if rest and other and abs(len(p.text) - len(q.text)) <= most + 2 and all(map(_match, rest, other)) and closest(p, q.text, most) <= most:
                 return True
     return False
 
@@ -320,19 +330,35 @@ class Weights(NamedTuple):
         return np.log1p(1 / np.maximum(RARE, self.count[grams] / max(1, self.names))) ** 2
 
 
+@lru_cache(maxsize=1)
+def _usual() -> tuple[np.ndarray, int]:
+    """Counts of the grams of VIRTUAL names that have a common given name and patronymic and no surname.
+
+    They stand for the names that a small table does not hold, so that weights are alike at every size.
+    """
+    given = list(_SHORT)
+    out = np.zeros(1 << GRAM_BITS)
+    for i, name in enumerate(given):
+        father = re.sub("[аяйьи]+$", "", given[(7 * i + 3) % len(given)])
+        out[grams_of((canonical(f"{name} {father}{('ович', 'овна', 'евич', 'евна')[i % 4]}"), ""))] += VIRTUAL / len(given)
+    return out, VIRTUAL
+
+
 def _counted(nodes: DataFrame) -> Weights:
+    """Counts over all names, on top of the usual ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [grams_of(f) for f in zip(*(batch.column(c).to_pylist() for c in (1, 2)))]
             g, n = np.unique(np.concatenate([*own, np.full(len(own), -1)]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(g, pa.int32()), "n": pa.array(n, pa.int64())})
 
-    out, names = np.zeros(1 << GRAM_BITS, np.int64), 0
+    usual, names = _usual()
+    out = usual.copy()
     for g, n in nodes.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect():  # at most 2 ** GRAM_BITS + 1 rows
         if g < 0:
-            names = n
+            names += n
         else:
-            out[g] = n
+            out[g] += n
     return Weights(out, names)
 
 
@@ -420,7 +446,7 @@ def similar_names(nodes: DataFrame, threshold: float = THRESHOLD, block: int = B
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        blocks = np.minimum(-(-weights.count // block), 1 << 16)
+        blocks = np.clip(np.ceil(weights.count / block), 1, 1 << 16).astype(np.int64)
         for batch in batches:
             cells: list[tuple[int, bool]] = []
             take, grams, left = [], [], []
@@ -629,18 +655,26 @@ def link_names(profiles: DataFrame, typed: DataFrame, threshold: float = THRESHO
 
 
 def name_groups(profiles: DataFrame, typed: DataFrame) -> DataFrame:
-    """(name, name_en, group, n_links): the group of every typed name and how many names it is alike to."""
+    """(name, name_en, class_id, n_links): the group of every typed name, under its first name, and how many names it is alike to."""
     names = prepared(profiles, typed)
     degree = names.edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = names.forms.join(names.groups.select("node", "group"), "node", "left").join(degree, "node", "left")
-    return found.select("name", "name_en", F.coalesce("group", "node").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = found.select("name", "name_en", F.coalesce("group", "node").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = found.groupBy("group").agg(F.min(F.when(F.col("name") != "", F.col("name")).otherwise(F.col("name_en"))).alias("class_id"))
+    return salted_join(found, first, ["group"], "inner", F.xxhash64("name", "name_en")).select("name", "name_en", "class_id", "n_links")
 
 
-def linked_records(persons: DataFrame, authorships: DataFrame, supervisors: DataFrame) -> DataFrame:
-    """(src, rec_id, rec_seq, person_id) of the records without a profile whose name means one."""
+def unlinked_records(persons: DataFrame, authorships: DataFrame, supervisors: DataFrame) -> DataFrame:
+    """(src, rec_id, rec_seq, name, name_en) of the records that name nobody in persons by id."""
     blank = F.lit("")
     a = authorships.where("person_id is null").select(F.lit("authorships").alias("src"), F.col("publication_id").alias("rec_id"), F.col("position").cast("long").alias("rec_seq"), F.coalesce("display_name", blank).alias("name"), F.coalesce("display_name_en", blank).alias("name_en"))
     s = supervisors.where("person_id is not null").join(persons.select("person_id").distinct(), "person_id", "left_anti").select(F.lit("thesis_supervisors").alias("src"), F.col("thesis_id").cast("string").alias("rec_id"), F.col("person_id").alias("rec_seq"), F.coalesce("display_name", blank).alias("name"), blank.alias("name_en"))
-    records = cut(a.unionByName(s).where("name <> '' or name_en <> ''").distinct(), "records")
+    return cut(a.unionByName(s).where("name <> '' or name_en <> ''").distinct(), "records")
+
+
+def linked_records(persons: DataFrame, authorships: DataFrame, supervisors: DataFrame) -> DataFrame:
+    """(src, rec_id, rec_seq, person_id) of the records without a profile whose name means one."""
+    records = unlinked_records(persons, authorships, supervisors)
     links = link_names(persons, records)
-    return records.join(links, ["name", "name_en"]).select("src", "rec_id", "rec_seq", "person_id").distinct()
+    # a name can be that of many records
+    return salted_join(records, links, ["name", "name_en"], "inner", F.xxhash64("src", "rec_id", "rec_seq")).select("src", "rec_id", "rec_seq", "person_id").distinct()

@@ -62,6 +62,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_records(table(spark, d, "persons"), table(spark, d, "authorships"), table(spark, d, "thesis_supervisors"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed name without a profile of its own id, with the group of names it is a spelling of."""
+    from quaestor.llm.names import name_groups, unlinked_records
+
+    persons = table(spark, d, "persons")
+    return name_groups(persons, unlinked_records(persons, table(spark, d, "authorships"), table(spark, d, "thesis_supervisors")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from quaestor.llm.leakage import leaks
 
@@ -102,7 +110,7 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_languages, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_masked)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_languages, p3_found, p3_collapsed, p4_found, p5_found, p5_groups, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
