@@ -283,14 +283,22 @@ def _match(p: Part, q: Part) -> bool:
 
 
 @lru_cache(maxsize=100_000)
+def _anchors(form: str) -> tuple[tuple[Part, tuple[Part, ...], frozenset[str]], ...]:
+    """The readings of a name that leave something beside the surname, with the letters of the surname."""
+    return tuple((p, rest, frozenset(p.text)) for p, rest in _readings(parsed(form)) if rest)
+
+
 def alike(a: str, b: str) -> bool:
     """Whether two typed names (canonical) can be spellings of one name."""
     if a == b:
         return True
-    for p, rest in _readings(parsed(a)):
-        for q, other in _readings(parsed(b)):
-            most = 2 if min(len(p.text), len(q.text)) >= 7 else 1
-            if rest and other and abs(len(p.text) - len(q.text)) <= most + 2 and all(map(_match, rest, other)) and closest(p, q.text, most) <= most:
+    for p, rest, letters in _anchors(a):
+        n = len(p.text)
+        for q, other, theirs in _anchors(b):
+            m = len(q.text)
+            most = 2 if n >= 7 and m >= 7 else 1
+            # one edit more for signs that are written in two ways
+            if abs(n - m) <= most + 2 and len(letters ^ theirs) <= 2 * most + 2 and all(map(_match, rest, other)) and closest(p, q.text, most) <= most:
                 return True
     return False
 
