@@ -60,8 +60,14 @@ def hidden_copies(df: DataFrame, key: str, fields: list[str], lists: list[str] =
 
 
 def collapse(df: DataFrame, key: str, fields: list[str], lists: list[str] = (), plain: list[str] = ()) -> DataFrame:
-    """One row per class: the row of the smallest key, with `n_copies` (itself included)."""
-    pairs = cut(hidden_copies(df, key, fields, lists, plain), "collapse")
+    """One row per class: the row of the smallest key, with `n_copies` (itself included), which replaces a column of that name.
+
+    Of rows with one key the first counts, in the order of a hash of all their columns.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns if c != "n_copies"])
+    one = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), row.alias("_row")).groupBy("_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    one = cut(one.select("_row.*"), "rows")
+    pairs = cut(hidden_copies(one, key, fields, lists, plain), "collapse")
     n = pairs.groupBy("kept_id").agg((F.count("*") + 1).alias("n_copies"))
-    kept = df.where(F.col(key).isNotNull()).drop("n_copies").join(pairs.select(F.col("copy_id").alias(key)), key, "left_anti")
+    kept = one.join(pairs.select(F.col("copy_id").alias(key)), key, "left_anti")
     return kept.join(n.withColumnRenamed("kept_id", key), key, "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))

@@ -44,3 +44,9 @@ def test_collapse_counts_copies(spark):
     df = rows(spark, (1, 1, "A", "x", None), (2, 1, "a", "x", None), (3, 2, "b", "x", None))
     got = collapse(df, "id", ["title", "academic_year"], ["raw_meta"], ["person_id"])
     assert sorted((r.id, r.n_copies, r.kept_id) for r in got.collect()) == [(1, 2, 7), (3, 1, 7)]
+
+
+def test_collapse_of_repeated_ids(spark):
+    df = rows(spark, (1, 1, "a", "x", None), (1, 1, "a", "x", None), (2, 1, "A", "x", None), (3, 1, "b", "x", None), (3, 2, "c", "x", None), (None, 1, "a", "x", None))
+    got = collapse(df.selectExpr("*", "9 as n_copies"), "id", ["title", "academic_year"], ["raw_meta"], ["person_id"])
+    assert sorted((r.id, r.n_copies) for r in got.collect()) == [(1, 2), (3, 1)]
