@@ -172,24 +172,3 @@ def grouped_number(c: Column) -> Column:
 
 def display_time(c: Column, seconds: bool = False) -> Column:
     return F.coalesce(F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")) if seconds else F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit("—"))
-
-
-def award_fields(raw: Column) -> Column:
-    """Title and years of an award that ends in a bracketed year or range."""
-    text = clean_whitespace(raw)
-    rx = r"\s*\(\s*[^()\d]*(\d{4})(?:\s*[–−—-]\s*(\d{4}))?\s*(?:гг?\.)?\s*\)\s*$"
-    year = lambda g: blank_to_null(F.regexp_extract(text, rx, g)).try_cast("int")
-    title = F.regexp_replace(F.regexp_replace(text, rx, ""), r"[ ,.;:–—-]+$", "")
-    return F.struct(F.when(title == "", text).otherwise(title).alias("title"), year(1).alias("year_from"), year(2).alias("year_to"))
-
-
-def grant_fields(raw: Column) -> Column:
-    """Number and years of a grant's text."""
-    marked = F.regexp_extract_all(raw, F.lit(r"(\d{4})\s*г"), F.lit(1))
-    span = r"(\d{4})\s*[–−—-]\s*(\d{4})"
-    pick = lambda i, g: F.coalesce(F.try_element_at(marked, F.lit(i)), blank_to_null(F.regexp_extract(raw, span, g))).try_cast("int")
-    return F.struct(raw.alias("text"), clean_text(blank_to_null(F.regexp_extract(raw, r"(?U)Номер:\s*([^,]+)", 1))).alias("number"), pick(1, 1).alias("start"), pick(-1, 2).alias("end"))
-
-
-def editorial_fields(raw: Column) -> Column:
-    return F.struct(raw.alias("text"), blank_to_null(F.regexp_extract(raw, r"(\d{4})\s*г", 1)).try_cast("int").alias("start_year"), clean_text(blank_to_null(F.regexp_extract(raw, "«([^»]+)»", 1))).alias("journal"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import lexicon, nested, text, vector
 from quaestor.operators import paging
 from quaestor.operators.predicates import between, check_query, check_range, equals, has_publications, since, where_all
+from quaestor.plans import enrich
 from quaestor.sources.tables import exists, require, table
 
 
@@ -104,18 +105,17 @@ def unit_facet(c: Catalog, least: int = lexicon.TEACHER_UNITS_MIN) -> DataFrame:
 def course_rollup(courses: DataFrame) -> DataFrame:
     """One row a person and stripped title: years in order, levels, languages, times taught; blank titles are dropped."""
     title = text.strip(F.col("title"))
-    w = Window.partitionBy("person_id").orderBy(F.col("academic_year").desc_nulls_last(), F.col("id").desc())
-    rows = courses.select("person_id", "id", "academic_year", "level", "language", title.alias("title")).where("title <> ''").withColumn("rn", F.row_number().over(w))
+    rows = courses.select("person_id", "id", "academic_year", "level", "language", title.alias("title")).where("title <> ''")
     kept = lambda x: F.when(F.col(x) != "", F.col(x))
     out = rows.groupBy("person_id", "title").agg(
         F.sort_array(F.collect_set(kept("academic_year")), asc=False).alias("years"), F.sort_array(F.collect_set(kept("level"))).alias("levels"),
-        F.sort_array(F.collect_set(kept("language"))).alias("languages"), F.min("rn").alias("first_seen"))
+        F.sort_array(F.collect_set(kept("language"))).alias("languages"), F.max(F.struct("academic_year", "id")).alias("newest"))
     return out.withColumns({"times_taught": F.size("years"), "latest_year": F.coalesce(F.array_max("years"), F.lit(""))})
 
 
 def person_profile_courses(c: Catalog, person_id: int, page=1, page_size=20) -> paging.Page:
     rows = course_rollup(c.courses.where(F.col("person_id") == person_id))
-    return paging.paginate(rows, [F.col("latest_year").desc(), F.col("first_seen")], page, page_size)
+    return paging.paginate(rows, [F.col("latest_year").desc(), F.col("newest").desc()], page, page_size)
 
 
 # --- publications ----------------------------------------------------------------
@@ -260,17 +260,44 @@ def semantic_publications(c: Catalog, query: list[float], limit: int = 20, year_
     return one.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
+def publication_hits(c: Catalog, query: list[float], **filters) -> DataFrame:
+    """`semantic_publications` with their authors."""
+    return with_authors(c, semantic_publications(c, query, **filters))
+
+
+def query_tags(c: Catalog, q: str, lemmatise=None) -> DataFrame:
+    """(tag): the keyphrases of a query, best first; a short query has none."""
+    one = c.spark.range(1).select("id", F.lit(q).alias("q"))
+    return enrich.extract_topics(one, "id", "q", lemmatise=lemmatise).select(F.posexplode("tags").alias("n", "tag")).orderBy("n").select("tag")
+
+
+def search_experts(c: Catalog, q: str, embedder, lemmatise=None, **filters) -> dict[str, DataFrame]:
+    """What an expert search answers: the tags of the query, and the hits with their publications."""
+    check_query(q)
+    return {"query_tags": query_tags(c, q, lemmatise), "results": expert_hits(c, list(map(float, embedder([q])[0])), q, **filters)}
+
+
 def shown(hits: DataFrame) -> DataFrame:
     """Hits under the lowest tier are hidden after the limit, so a page may be short."""
     return hits.where(F.col("score") >= lexicon.SCORE_TIERS[-1][0])
 
 
-def publications_or_lexical(c: Catalog, q: str, embedder=None, **filters) -> DataFrame:
-    """Semantic search, or the lexical listing with a null score where there is no embedder or the query is short."""
+def publications_or_lexical(c: Catalog, q: str, embedder=None, ordering: str | None = None, **filters) -> DataFrame:
+    """Semantic search with authors, or the lexical listing with a null score where there is no embedder, it fails, or the query is short.
+
+    The lexical listing is newest first unless an ordering is named.
+    """
     if embedder is not None and len(q) >= 2:
-        return semantic_publications(c, list(map(float, embedder([q])[0])), **filters)
-    filters.pop("limit", None), filters.pop("language", None)
-    return publications_query(c, q=q or None, **filters).orderBy(*newest_first()).withColumn("score", F.lit(None).cast("double"))
+        try:
+            query = list(map(float, embedder([q])[0]))
+        except Exception:  # whatever a model raises, the page is answered without it
+            query = None
+        if query is not None:
+            return publication_hits(c, query, **filters)
+    limit = filters.pop("limit", 20)
+    filters.pop("language", None)
+    order = newest_first() if ordering is None else paging.ordering(paging.PUBLICATION_ORDERINGS, ordering, "id")
+    return with_authors(c, publications_query(c, q=q or None, **filters).orderBy(*order).limit(limit)).withColumn("score", F.lit(None).cast("double"))
 
 
 def home(c: Catalog, q: str = "", query: list[float] | None = None, page: int = 1, campus: str | None = None, ordering: str = "-publications_total") -> dict[str, DataFrame]:

@@ -5,16 +5,18 @@ Arrays leave as joined text and scores are rounded, so results compare by value.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions import lexicon, nested, text, vector
+from quaestor.functions import html, lexicon, nested, profile_text, text, vector
 from quaestor.operators import paging
 from quaestor.operators.predicates import after_key, where_all
-from quaestor.plans import api, enrich, ingest, jobs
+from quaestor.plans import api, enrich, ingest, jobs, samples
 from quaestor.plans.api import Catalog
 from quaestor.sources import web
 
@@ -382,11 +384,20 @@ def home_name_hits(c):
     return api.home(c, "ов")["names"].select("person_id", "full_name")
 
 
-@query(f"""SELECT id, title, NULL::DOUBLE AS score FROM {PUBS} WHERE title ILIKE '%рынок%' AND year >= 2015 ORDER BY year DESC NULLS LAST, id""")
+@query(f"""SELECT id, title, NULL::DOUBLE AS score FROM {PUBS} WHERE title ILIKE '%рынок%' AND year >= 2015 ORDER BY year DESC NULLS LAST, id LIMIT 20""")
 def lexical_fallback(c):
     return api.publications_or_lexical(c, "рынок", None, year_from=2015).select("id", "title", "score")
 
 
+def _fails(texts):
+    raise RuntimeError("no model")
+
+
+@query(f"""SELECT id, title, NULL::DOUBLE AS score, (SELECT count(*) FROM (SELECT DISTINCT * FROM authorships) a WHERE a.publication_id = p.id) AS n_authors FROM {PUBS} p WHERE title ILIKE '%рынок%' ORDER BY created_at DESC NULLS FIRST, id LIMIT 5""")
+def fallback_of_a_failed_embedder(c):
+    return api.publications_or_lexical(c, "рынок", _fails, ordering="-created_at", limit=5).select("id", "title", "score", F.size("authors").cast("long").alias("n_authors"))
+
+
 # --- vectors ---------------------------------------------------------------------
 
 _QV = f"SELECT embedding FROM persons WHERE person_id = (SELECT min(person_id) FROM persons WHERE {USABLE})"
@@ -433,6 +444,20 @@ def semantic_publications(c):
     return api.semantic_publications(c, _publication_vector(c), 20, year_from=2010, type="ARTICLE").select("id", "score")
 
 
+@query(f"""WITH h AS (SELECT id, {cosine(_PQV)} AS score FROM {PUBS} WHERE {USABLE} ORDER BY score DESC, id LIMIT 20)
+    SELECT h.id, score, coalesce(string_agg(a.position || ':' || coalesce(a.person_id::VARCHAR, '') || ':' || coalesce(a.display_name, ''), '|' ORDER BY a.position, a.person_id NULLS FIRST, a.display_name NULLS FIRST), '') AS authors
+    FROM h LEFT JOIN (SELECT DISTINCT publication_id, position, person_id, display_name, display_name_en, href, is_hse_person FROM authorships) a ON a.publication_id = h.id GROUP BY 1, 2""")
+def semantic_publications_with_authors(c):
+    one = lambda a: F.concat_ws(":", a["position"], F.coalesce(a["person_id"].cast("string"), F.lit("")), F.coalesce(a["display_name"], F.lit("")))
+    return api.publication_hits(c, _publication_vector(c)).select("id", "score", F.array_join(F.transform("authors", one), "|").alias("authors"))
+
+
+@query("""SELECT array_to_string(w[i:i+3], ' ') AS tag FROM (SELECT string_split('сетевой анализ городского рынка динамики миграции населения', ' ') AS w), (SELECT unnest(range(1, 5)) AS i)""")
+def expert_query_tags(c):
+    """Tags of a query: its runs of four words, as shorter ones are part of these."""
+    return api.search_experts(c, "Сетевой анализ городского рынка, динамики миграции населения", enrich.hash_embed)["query_tags"]
+
+
 @query(f"""WITH h AS (SELECT person_id, campus_id, {cosine(_QV)} AS score FROM persons WHERE {USABLE} AND {TEACHES} ORDER BY score DESC, person_id LIMIT 10),
     r AS (SELECT l.person_id, p.id, row_number() OVER (PARTITION BY l.person_id ORDER BY p.year DESC NULLS LAST, p.id) AS n FROM {LINKS} l JOIN {PUBS} p USING (id) WHERE l.person_id IN (SELECT person_id FROM h)),
     t AS (SELECT person_id, string_agg(id, '|' ORDER BY n) AS pubs FROM r WHERE n <= 3 GROUP BY 1)
@@ -526,7 +551,7 @@ def _agg_titles(rows: str, limit: str, glue: str, distinct: bool) -> str:
     LEFT JOIN {_agg_titles(_PCTX_TH, 'WHERE n <= 50', "'; '", True)} a USING (person_id) LEFT JOIN {_agg_titles(_PCTX_PB, 'WHERE n <= 30', "' '", False)} b USING (person_id)
     LEFT JOIN {_agg_titles(_PCTX_CO, '', 'chr(10)', True)} c USING (person_id)""")
 def person_context(c):
-    return enrich.person_contexts(c.persons, c.publications, c.authorships, c.courses, c.theses, c.thesis_supervisors)
+    return enrich.person_contexts(c.persons, c.publications, c.authorships, c.courses, c.theses, c.thesis_supervisors).select("person_id", "context")
 
 
 # --- tags ------------------------------------------------------------------------
@@ -552,9 +577,10 @@ def tag_normal(c):
     return c.publications.select(F.explode("topics").alias("tag")).distinct().select("tag", text.normal_tag(F.col("tag")).alias("normal"))
 
 
-@query("""SELECT s, (len(s) - len(translate(s, '0123456789 .,–—-/', '')))::DOUBLE / len(s) AS ratio FROM (SELECT DISTINCT citation AS s FROM publications WHERE len(citation) > 0 AND NOT regexp_matches(lower(citation), 'гг?'))""")
+@query(r"""SELECT s, (len(s) - len(translate(s, '0123456789 .,–—-/', '')) + coalesce(list_sum(list_transform(regexp_extract_all(' ' || regexp_replace(s, '([^\p{L}\p{N}_])', '\1 ', 'g') || ' ', '(?i)[^\p{L}\p{N}_](гг?)[^\p{L}\p{N}_]', 1), lambda x: len(x))), 0)
+    + len(regexp_extract_all(s || ' ', '(?i)(?:^|[^\p{L}\p{N}_])гг?\.[\p{L}\p{N}_]')))::DOUBLE / len(s) AS ratio FROM (SELECT DISTINCT citation AS s FROM publications WHERE len(citation) > 0)""")
 def tag_numeric_ratio(c):
-    rows = c.publications.select(F.col("citation").alias("s")).where("length(s) > 0").where(~F.lower("s").rlike("гг?")).distinct()
+    rows = c.publications.select(F.col("citation").alias("s")).where("length(s) > 0").distinct()
     return rows.select("s", text.numeric_ratio(F.col("s")).alias("ratio"))
 
 
@@ -575,7 +601,7 @@ def tags_filtered(c):
 def person_topics(c):
     """Keyphrases of every person's context."""
     ctx = enrich.person_contexts(c.persons, c.publications, c.authorships, c.courses, c.theses, c.thesis_supervisors)
-    return enrich.extract_topics(ctx, "person_id", "context").select("person_id", joined("tags").alias("tags"))
+    return enrich.extract_topics(ctx, "person_id", "context", person_name="full_name").select("person_id", joined("tags").alias("tags"))
 
 
 @query()
@@ -658,9 +684,9 @@ def recent_jobs(c):
     return jobs.recent(jobs.latest(_events(c).select("job_id", "at", "status"))).select("job_id", "started_at")
 
 
-@query("SELECT campus_id, letter, n FROM campuses, (SELECT unnest(['А', 'Б', 'В']) AS letter, unnest([0, 1, 2]) AS n)")
+@query(f"SELECT campus_id, letter, n FROM campuses, (SELECT unnest(string_split('{web.LETTERS}', '')) AS letter, generate_subscripts(string_split('{web.LETTERS}', ''), 1) - 1 AS n)")
 def crawl_visits(c):
-    return web.visits(c.campuses, "АБВ").select("campus_id", "letter", F.col("_n").alias("n"))
+    return web.visits(c.campuses).select("campus_id", "letter", F.col("_n").alias("n"))
 
 
 @query("SELECT href AS url, arg_min(publication_id, publication_id || '#' || lpad(position::VARCHAR, 6, '0')) AS publication_id FROM authorships WHERE href IS NOT NULL GROUP BY 1")
@@ -688,3 +714,90 @@ def profile_publications(c):
     SELECT title, count(DISTINCT y) AS times_taught FROM r WHERE title <> '' GROUP BY 1 ORDER BY coalesce(max(y), '') DESC, min(rn) LIMIT 20""")
 def profile_courses(c):
     return api.person_profile_courses(c, OTHER_PERSON).rows.select("title", F.col("times_taught").cast("long"))
+
+
+# --- pages and items written out -------------------------------------------------
+
+
+@query(samples.rows_sql(samples.SECTIONS, "section, value"))
+def page_sections(c):
+    """Every section of a profile page."""
+    page = html.parse_pages(c.spark.createDataFrame([(samples.URL, samples.PAGE)], "url string, html string"))
+    value = lambda k, t: F.col(k).cast("string") if t in ("bigint", "string") else F.to_json(k)
+    pairs = F.array(*[F.struct(F.lit(k).alias("section"), value(k, t).alias("value")) for k, t in html.SECTIONS.items()])
+    return page.select(F.inline(pairs))
+
+
+@query(samples.rows_sql(samples.LINES, "rule, line, value"))
+def page_lines(c):
+    """The normalisers of lines of profile pages."""
+    @F.pandas_udf("string")
+    def run(rule: pd.Series, line: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(getattr(profile_text, r)(x), ensure_ascii=False) for r, x in zip(rule, line)])
+
+    rows = c.spark.createDataFrame([x[:2] for x in samples.LINES], "rule string, line string")
+    return rows.select("rule", "line", run("rule", "line").alias("value"))
+
+
+def _items(c: Catalog, items: list[str]) -> DataFrame:
+    return c.spark.createDataFrame([(x,) for x in items], "raw string")
+
+
+@query(samples.rows_sql(samples.PUBLICATION_FIELDS, "id, field, value"))
+def publication_items(c):
+    """All fields of publications read from JSON."""
+    got = ingest.publications_from_json(_items(c, samples.PUBLICATIONS)).drop("raw")
+    value = lambda k: F.to_json(k) if k in ("editors", "translators") else F.date_format(k, "yyyy-MM-dd HH:mm:ss") if k == "created_at" else F.col(k).cast("string")
+    pairs = F.array(*[F.struct(F.lit(k).alias("field"), value(k).alias("value")) for k in got.columns if k != "id"])
+    return got.select("id", F.inline(pairs)).where("value is not null")
+
+
+@query(samples.rows_sql(samples.AUTHORSHIPS, "publication_id, position, person_id, display_name, display_name_en, href, is_hse_person"))
+def authorship_items(c):
+    return ingest.authorships_from_json(_items(c, samples.PUBLICATIONS))
+
+
+@query(samples.rows_sql(samples.THESIS_ROWS, "thesis_id, title, year, level, student, program, program_url, org_unit, has_en_version"))
+def thesis_items(c):
+    return ingest.theses_from_json(_items(c, samples.THESES)).drop("raw")
+
+
+@query(samples.rows_sql(samples.SUPERVISORS, "thesis_id, person_id, display_name"))
+def supervisor_items(c):
+    return ingest.supervisors_from_json(_items(c, samples.THESES))
+
+
+# --- upserts over whole tables ---------------------------------------------------
+
+
+@query("""SELECT person_id, upper(full_name) AS full_name, campus_id, array_to_string(interests_extracted, '|') AS tags FROM persons UNION ALL SELECT person_id + 1000000000, full_name, NULL, NULL FROM persons""")
+def upsert_persons(c):
+    """A re-scraped row keeps campus and extracted interests; a new one has neither."""
+    now = c.persons.select("person_id", "full_name", "campus_id", "interests_extracted")
+    again = now.select("person_id", F.upper("full_name").alias("full_name")).union(now.select(F.col("person_id") + 1000000000, "full_name"))
+    return ingest.upsert_persons(now, again).select("person_id", "full_name", "campus_id", F.array_join("interests_extracted", "|").alias("tags"))
+
+
+@query(f"""SELECT id, title || ' *' AS title, year, array_to_string(topics, '|') AS topics FROM {PUBS} UNION ALL SELECT 'n' || id, title, NULL, NULL FROM {PUBS}""")
+def upsert_publications(c):
+    now = c.pubs("title", "year", "topics")
+    again = now.select("id", F.concat("title", F.lit(" *")).alias("title"), "year").union(now.select(F.concat(F.lit("n"), "id"), "title", F.lit(None).cast("int")))
+    return ingest.upsert_publications(now, again).select("id", "title", "year", F.array_join("topics", "|").alias("topics"))
+
+
+@query("""SELECT thesis_id, upper(title) AS title, NULL::INT AS year, student FROM theses UNION ALL SELECT thesis_id + 1000000000, title, year, NULL FROM theses""")
+def upsert_theses(c):
+    """A null that comes in overwrites; columns that don't come in stay."""
+    now = c.theses.select("thesis_id", "title", "year", "student")
+    again = now.select("thesis_id", F.upper("title").alias("title"), F.lit(None).cast("int").alias("year")).union(now.select(F.col("thesis_id") + 1000000000, "title", "year"))
+    return ingest.upsert_theses(now, again)
+
+
+@query("""WITH s AS (SELECT thesis_id, person_id, max(display_name) AS display_name FROM thesis_supervisors GROUP BY 1, 2), k AS (SELECT person_id FROM persons)
+    SELECT thesis_id, person_id, CASE WHEN person_id IN (SELECT * FROM k) THEN display_name || ' *' ELSE display_name END AS display_name FROM s
+    UNION ALL SELECT thesis_id + 1000000000, person_id, display_name FROM s WHERE person_id IN (SELECT * FROM k)""")
+def upsert_supervisors(c):
+    """Links of unknown people don't come in; stored ones stay."""
+    now = c.thesis_supervisors.groupBy("thesis_id", "person_id").agg(F.max("display_name").alias("display_name"))
+    again = now.withColumn("display_name", F.concat("display_name", F.lit(" *"))).union(now.select(F.col("thesis_id") + 1000000000, "person_id", "display_name"))
+    return ingest.upsert_supervisors(now, again, c.persons)

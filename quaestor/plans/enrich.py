@@ -33,28 +33,34 @@ def publication_context(title: Column, abstract_ru: Column, abstract_en: Column,
     return F.concat_ws("\n\n", none_if_blank(strip(title)), F.coalesce(none_if_blank(abstract_ru), none_if_blank(abstract_en)), none_if_blank(venue))
 
 
-def ordered_titles(rows: DataFrame, key: str, order: list[Column], title: str, limit: int | None, name: str) -> DataFrame:
-    """(key, array of the first `limit` titles in order).  With a limit the window prunes to it before it shuffles."""
+def ordered_titles(rows: DataFrame, key: str, order: list[Column], title: str, limit: int, name: str) -> DataFrame:
+    """(key, array of the first `limit` titles in order).  The window prunes to the limit before it shuffles."""
     w = Window.partitionBy(key).orderBy(*order)
-    numbered = rows.where(F.col(key).isNotNull()).select(key, title, F.row_number().over(w).alias("_r"))
-    if limit is not None:
-        numbered = numbered.where(F.col("_r") <= limit)
+    numbered = rows.where(F.col(key).isNotNull()).select(key, title, F.row_number().over(w).alias("_r")).where(F.col("_r") <= limit)
     packed = F.array_sort(F.collect_list(F.struct("_r", title)))
     return numbered.groupBy(key).agg(F.transform(packed, lambda x: x[title]).alias(name))
 
 
+def newest_titles(rows: DataFrame, key: str, newest: str, number: str, title: str, limit: int, name: str) -> DataFrame:
+    """(key, array of the first `limit` distinct non-blank titles), by `newest` descending (null last), then `number`."""
+    best = F.max(F.struct(F.col(newest), (-F.col(number)).alias("n")))
+    one = rows.where(F.col(key).isNotNull()).select(key, newest, number, strip(F.col(title)).alias("t")).where("t <> ''").groupBy(key, "t").agg(best.alias("b"))
+    return ordered_titles(one, key, [F.col("b").desc()], "t", limit, name)
+
+
 def person_contexts(persons: DataFrame, publications: DataFrame, authorships: DataFrame, courses: DataFrame, theses: DataFrame, supervisors: DataFrame) -> DataFrame:
-    """(person_id, context): name, unit, interests, titles of 50 theses, 30 publications and all courses, cut at the context length."""
+    """(person_id, full_name, context): name, unit, interests, titles of 50 theses, 30 publications and all courses, cut at the context length."""
     desc = lambda c: F.col(c).desc_nulls_last()
     links = authorships.where("person_id is not null").select("person_id", F.col("publication_id").alias("id")).distinct()
     pubs = ordered_titles(links.join(publications.select("id", "title", "year").dropDuplicates(["id"]), "id"), "person_id", [desc("year"), F.col("id")], "title", 30, "_pubs")
     works = supervisors.select("person_id", "thesis_id").distinct().join(theses.select("thesis_id", "title", "year"), "thesis_id")
     works = ordered_titles(works, "person_id", [desc("year"), F.col("thesis_id")], "title", 50, "_theses")
-    lessons = ordered_titles(courses.select("person_id", "title", "academic_year", "id"), "person_id", [desc("academic_year"), F.col("id")], "title", None, "_courses")
+    # a title and what parts it from the next are two characters at least, so more titles than this are cut off anyway
+    lessons = newest_titles(courses, "person_id", "academic_year", "id", "title", lexicon.CONTEXT_CHARS // 2 + 1, "_courses")
     p = persons.select("person_id", "full_name", topical_unit(F.col("primary_unit")).alias("_unit"), "interests")
     joined = p.join(works, "person_id", "left").join(pubs, "person_id", "left").join(lessons, "person_id", "left")
     text = F.concat_ws("\n\n", "full_name", F.nullif("_unit", F.lit("")), _lines(F.col("interests"), "; "), _lines(F.col("_theses"), "; ", True), _lines(F.col("_pubs"), " "), _lines(F.col("_courses"), "\n", True))
-    return joined.select("person_id", F.substring(text, 1, lexicon.CONTEXT_CHARS).alias("context"))
+    return joined.select("person_id", "full_name", F.substring(text, 1, lexicon.CONTEXT_CHARS).alias("context"))
 
 
 # --- keyphrases ------------------------------------------------------------------
@@ -101,16 +107,17 @@ def filter_tags(tags: DataFrame, key: str, tag: str = "tag", person_name: str |
     return rows.select(key, F.col("_t").alias("tag"))
 
 
-def rank_tags(candidates: DataFrame, key: str, max_tags: int = lexicon.MAX_TAGS, person_name: str | None = None, lemmatise: Lemmatiser | None = None, corrected: bool = False) -> DataFrame:
+def rank_tags(candidates: DataFrame, key: str, max_tags: int = lexicon.MAX_TAGS, person_name: str | None = None, rejects: str | None = None, lemmatise: Lemmatiser | None = None, corrected: bool = False) -> DataFrame:
     """(key, tags): candidates (key, tag, score) merged by highest score, filtered, ranked, cut.
 
     A tag that the lemmatiser changes has no score of its own and ranks as 0, by length;
-    corrected=True ranks it by the score of the form it came from.
+    corrected=True ranks it by the score of the form it came from.  person_name and
+    rejects name columns of the candidates that are the same for all rows of a key.
     """
-    extra = [person_name] if person_name else []
+    extra = [x for x in (person_name, rejects) if x]
     merged = candidates.withColumn("tag", normal_tag(F.col("tag"))).where("tag <> ''").groupBy(key, "tag", *extra).agg(F.max("score").alias("score"))
     rows = merged.withColumn("_row", F.struct(F.col(key), F.col("score"), F.col("tag").alias("was")))
-    kept = filter_tags(rows, "_row", "tag", person_name, None, lemmatise)
+    kept = filter_tags(rows, "_row", "tag", person_name, rejects, lemmatise)
     kept = kept.select(F.col(f"_row.{key}").alias(key), "tag", F.when(F.lit(corrected) | (F.col("tag") == F.col("_row.was")), F.col("_row.score")).otherwise(0.0).alias("score"))
     per = kept.groupBy(key, "tag").agg(F.max("score").alias("score")).groupBy(key).agg(F.collect_list(F.struct("tag", "score")).alias("_a"))
     names = without_substrings(F.transform("_a", lambda x: x["tag"]))
@@ -127,16 +134,20 @@ def ngram_candidates(df: DataFrame, key: str, text: str, longest: int = 4) -> Da
     return each.groupBy(key, "tag").agg(F.count("*").alias("_n")).withColumn("score", F.least(F.lit(1.0), F.col("_n") * (0.2 + 0.1 * n))).drop("_n")
 
 
-def extract_topics(df: DataFrame, key: str, text: str, max_tags: int = lexicon.MAX_TAGS, person_name: str | None = None, lemmatise: Lemmatiser | None = None) -> DataFrame:
-    """(key, tags) of every row; texts shorter than 50 characters have none."""
-    extra = [person_name] if person_name else []
+def extract_topics(df: DataFrame, key: str, text: str, max_tags: int = lexicon.MAX_TAGS, person_name: str | None = None, rejects: str | None = None, lemmatise: Lemmatiser | None = None) -> DataFrame:
+    """(key, tags) of every row; texts shorter than 50 characters have none.
+
+    person_name: column with the name of the person the text is about; rejects: column
+    with an array of recognised names that are no topics.
+    """
+    extra = [x for x in (person_name, rejects) if x]
     long = df.where(F.length(text) >= 50)
     # as many candidates as a keyphrase model would hand over: twice the tags wanted
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.length("tag").desc(), "tag")
     found = ngram_candidates(long, key, text).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2 * max_tags).drop("_r")
     if extra:
-        found = found.join(df.select(key, person_name), key)
-    ranked = rank_tags(found, key, max_tags, person_name, lemmatise)
+        found = found.join(df.select(key, *extra), key)
+    ranked = rank_tags(found, key, max_tags, person_name, rejects, lemmatise)
     return df.select(key).join(ranked, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
@@ -189,8 +200,8 @@ def embed(c: Column, embedder: Callable[[list[str]], object] = hash_embed) -> Co
 
 
 def enrich_persons(contexts: DataFrame, gate: int = lexicon.CONTEXT_GATE, embedder: Callable = hash_embed) -> DataFrame:
-    """(person_id, interests_extracted, embedding); contexts below the gate get [] and null."""
+    """(person_id, interests_extracted, embedding) of contexts (person_id, full_name, context); those below the gate get [] and null."""
     long = F.length("context") >= gate
-    topics = extract_topics(contexts.where(long), "person_id", "context")
+    topics = extract_topics(contexts.where(long), "person_id", "context", person_name="full_name")
     rows = contexts.select("person_id", F.when(long, F.col("context")).alias("_c")).join(topics, "person_id", "left")
     return rows.select("person_id", F.coalesce("tags", F.array().cast("array<string>")).alias("interests_extracted"), embed(F.col("_c"), embedder).alias("embedding"))

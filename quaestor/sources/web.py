@@ -7,15 +7,25 @@ JSON text.  The fetcher is a parameter, so tests and offline runs bring their ow
 from __future__ import annotations
 
 import json
+import logging
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
+
+from quaestor.functions.html import tree
 
 Fetch = Callable[[str, dict | None], str]
 AGENT, TIMEOUT, PER_PAGE = "quaestor/1.0", 30, 50
+#: Fixed value: the letters of the directory.
+LETTERS = "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"
+log = logging.getLogger(__name__)
 
 
 def http(url: str, payload: dict | None = None) -> str:
@@ -73,8 +83,54 @@ class _Reader(DataSourceReader):
 
     def read(self, part):
         ask = lambda n: json.loads(http(self.url, {"authorId": part.person_id, "page": n, "perPage": PER_PAGE}))
-        for item in paged_items(ask, self.pages):
-            yield part.person_id, json.dumps(item, ensure_ascii=False)
+        yield from _tolerant(part.person_id, paged_items(ask, self.pages))
+
+
+def _tolerant(person_id: int, items: Iterator[dict]) -> Iterator[tuple[int, str]]:
+    """Items as JSON; a person whose service fails is left out from there on, with a warning, and the others go on."""
+    try:
+        for item in items:
+            yield person_id, json.dumps(item, ensure_ascii=False)
+    except (OSError, ValueError) as e:
+        log.warning("no more items of %s: %s", person_id, e)
+
+
+class ThesisSource(PublicationSource):
+    """spark.read.format("quaestor_theses").options(url="https://.../{}", ids="1,2,3").load(): the theses a person supervises."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quaestor_theses"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ThesisReader(self.options)
+
+
+class _ThesisReader(_Reader):
+    def read(self, part):
+        def items():
+            yield from plain_items(json.loads(http(self.url.format(part.person_id))))
+
+        yield from _tolerant(part.person_id, items())
+
+
+def fetch_pages(urls: DataFrame, fetch: Fetch = http) -> DataFrame:
+    """Adds `html` to rows with a url; pages that can't be fetched are left out with a warning."""
+    out = StructType([*urls.schema.fields, StructField("html", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(url: str) -> str | None:
+            try:
+                return fetch(url, None)
+            except (OSError, ValueError) as e:
+                log.warning("no page at %s: %s", url, e)
+                return None
+
+        for b in batches:
+            b = b.assign(html=[one(u) for u in b["url"]])
+            yield b[b["html"].notna()]
+
+    return urls.mapInPandas(run, out)
 
 
 def stored_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +154,39 @@ def frontier(links: DataFrame, order: str, limit: int | None = None) -> DataFram
     return ordered.limit(limit) if limit is not None else ordered
 
 
-def visits(campuses: DataFrame, letters: str) -> DataFrame:
+def letter_links(page: str, base: str, letters: str | None = None) -> list[tuple[str, str]]:
+    """(url, letter) of the directory's letters, all of them unless some are named."""
+    links = [(a.attrs.get("href"), a.text) for d in tree(page).find("div", "abc-filter__letter") for a in d.find("a")]
+    return [(urljoin(base, href), letter) for href, letter in links if href and (not letters or letter in letters)]
+
+
+def profile_links(page: str, base: str) -> list[str]:
+    """Addresses of the profiles that a list page names, each once."""
+    return list(dict.fromkeys(urljoin(base, a.attrs["href"]) for d in tree(page).find("div", "content__person-text") for a in d.find("a") if a.attrs.get("href")))
+
+
+def of_unit(url: str, unit: str | None) -> str:
+    """The address of a list page, narrowed to a unit if it has a place for one."""
+    return re.sub(r"(?<=udept=)\d+", unit, url) if unit else url
+
+
+def crawl_directory(spark: SparkSession, start: str, campus_ids: list[str] | None = None, letters: str | None = None, limit: int | None = None, fetch: Fetch = http) -> DataFrame:
+    """(url, campus_id) of the profiles in the order in which a visit of every campus and letter first meets them.
+
+    Without campuses the directory is visited once, unfiltered.  List pages that can't be fetched are skipped.
+    """
+    pages = [(of_unit(url, c), c) for c in campus_ids or [None] for url, _ in letter_links(fetch(start, None), start, letters)]
+    rows = spark.createDataFrame([(n, u, c) for n, (u, c) in enumerate(pages)], "page int, url string, campus_id string")
+    
+    @F.pandas_udf("array<string>")
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: profile_links(x, start))
+
+    links = fetch_pages(rows, fetch).select("campus_id", "page", F.posexplode(found("html")).alias("n", "url"))
+    return frontier(links.select("url", "campus_id", F.struct("page", "n").alias("at")), "at", limit).select("url", "campus_id")
+
+
+def visits(campuses: DataFrame, letters: str = LETTERS) -> DataFrame:
     """Pages of the directory to visit: every campus with every letter (both are short fixed lists)."""
     return campuses.select("campus_id", F.posexplode(F.array(*[F.lit(x) for x in letters])).alias("_n", "letter"))
 

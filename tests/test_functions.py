@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor.functions import html, nested, profile_text, text, vector
+from quaestor.plans.samples import PAGE
 
 
 def one(spark, c, value, kind="string"):
@@ -90,18 +91,25 @@ def test_display(spark):
 
 
 @pytest.mark.parametrize(("raw", "want"), [("Премия (2010–2012 гг.)", ("Премия", 2010, 2012)), ("Медаль, (2015)", ("Медаль", 2015, None)), ("Без года", ("Без года", None, None)), ("", ("", None, None))])
-def test_awards(spark, raw, want):
-    assert tuple(one(spark, text.award_fields(X), raw)) == want and tuple(profile_text.award_fields(raw).values()) == want
+def test_awards(raw, want):
+    assert tuple(profile_text.award_fields(raw).values()) == want
 
 
-def test_grants_and_editorial(spark):
-    g = one(spark, text.grant_fields(X), "Тема. Номер: 15-01, 2015 г. – 2017 г.")
-    assert (g.number, g.start, g.end) == ("15-01", 2015, 2017)
-    g = one(spark, text.grant_fields(X), "Тема (2023–2026 гг.)")
-    assert g.number is None and (g.start, g.end) == (2026, 2026)
+def test_grants_and_editorial():
+    g = profile_text.grant_fields("Тема. Номер: 15-01, 2015 г. – 2017 г.")
+    assert (g["number"], g["years"]) == ("15-01", {"start": 2015, "end": 2017})
+    assert profile_text.grant_fields("Тема (2023–2026 гг.)") == {"text": "Тема (2023–2026 гг.)", "number": None, "years": {"start": 2026, "end": 2026}}
     assert profile_text.grant_fields("Проект 2019–2021")["years"] == {"start": 2019, "end": 2021} and profile_text.grant_fields("x")["years"] is None
-    e = one(spark, text.editorial_fields(X), "С 2012 г.: журнал «Право и  жизнь»")
-    assert (e.start_year, e.journal) == (2012, "Право и жизнь")
+    e = profile_text.editorial_fields("С 2012 г.: журнал «Право и  жизнь»")
+    assert (e["start_year"], e["journal"]) == (2012, "Право и жизнь")
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ("2001", [("2001", "")]), ("с 01.2001 г. по", [("01.2001 г.", "")]), ("2001-2005: А; 2006 - по настоящее время Б", [("2001-2005", "А"), ("2006 - по настоящее время", "Б")]),
+    ("12001 и 20012 и 1.2.2001", []), ("2010 г. – н.в. Декан", [("2010 г. – н.в.", "Декан")]), ("2015 гость", [("2015", "гость")]), ("Отчёт2001 год", [("2001", "")])])
+def test_periods(raw, want):
+    got = [(raw[a:b], raw[b:c].strip(" ,.;:—–-")) for (a, b), c in zip(profile_text.periods(raw), [x for x, _ in profile_text.periods(raw)[1:]] + [None])]
+    assert [y for y, _ in got] == [y for y, _ in want]
 
 
 def test_experience():
@@ -151,24 +159,6 @@ def test_vectors(spark):
     assert [one(spark, vector.score_tier(X), s, "double") for s in (0.6, 0.45, 0.3, 0.29, None)] == ["strong", "medium", "weak", None, None]
 
 
-PAGE = """<div class="l-extra js-mobile_menu_content is-desktop"><div><div class="person-avatar" style="background:url('/a.jpg')"></div>
-<dl class="main-list-language-knowledge-level"><dt>Языки<dd>английский<dd> немецкий </dl>
-<dl class="main-list"><dt>Контакты</dt><dd>Телефон:<br>123, 456</dd><dd class="address-with-hours">Адрес: Мира, 1 Время присутствия: пн 10-12</dd></dl>
-<dl class="person-extra-indent"><dd><span class="b">ID</span>: <a href="/x">77</a></dd><dd><a href="/y">Реестр</a></dd></dl>
-<dl class="colleagues"><dd><a href="/org/persons/9">Петров</a><span class="grey">декан</span></dd></dl></div></div>
-<script data-person-id="55"></script><div class="main__inner"><h1 class="person-caption"> Иванов  Иван </h1>
-<ul class="employment-add"><li><span class="person-appointment-title">доцент, профессор:</span><a class="link" href="/u">Кафедра</a><li><i>без должности</i></ul>
-<div class="b-person-data" tab-node="sci-degrees1"><div class="g-list_closer"><div class="with-indent"><div class="person-list-hangover">2001</div>Кандидат</div></div></div>
-<div class="b-person-data" tab-node="sci-intrests"><a class="tag" href="/t">рынок</a></div>
-<div class="b-person-data" tab-node="additional_education"><p><strong>2010</strong></p><ul><li>Курс А<li>Курс Б</ul></div>
-<div class="b-person-data" tab-node="awards"><ul class="g-list"><li>- Медаль (2015)</ul></div>
-<div class="b-person-data" tab-node="experience"><div class="with-indent"><p class="text">2001–2005 Банк</p></div></div>
-<div class="edu-courses"><h2>Курсы 2024/2025</h2><ul class="g-list"><li><a class="link" href="/edu/courses/1">Право</a> (Бакалавриат; 1 курс) <span class="language-label">рус</span></li><li><span class="edu-courses-archive-toogle">архив</span></li></ul></div>
-<h2>Гранты и проекты</h2><div><p class="text">Тема. Номер: 7, 2015 г.</p></div><h2>Участие в редколлегиях</h2><div><p class="text">С 2012 г.: «Журнал»</p></div>
-<div class="b-person-data" tab-node="conferences"><ul class="g-list_closer"><li class="li2"><div class="person-list-hangover">2014</div><p>Форум (Тула). Доклад: X</p></li><li class="li2"><p>Съезд</p></li><li class="li2"><div class="person-list-hangover">??</div><p>Круг</p></li></ul></div>
-<div class="b-person-data" tab-node="patents"><table class="patent_table"><tr class="patent_table__item"><td data-title="Наименование РИД">Способ<td data-title="Номер РИД"><a href="/p">N1</a><td data-title="Сведения о регистрации">от 01.02.2019<td data-title="Авторы">А, Б; В</tr></table></div></div>"""
-
-
 def test_page_sections(spark):
     pages = spark.createDataFrame([("https://x.org/staff/1", PAGE), ("https://x.org/staff/42", "<p>нет разметки"), ("u", None)], "url string, html string")
     r = {x.url: x for x in html.parse_pages(pages).collect()}

@@ -1,9 +1,8 @@
 import json
 
-from test_functions import PAGE
-
 from quaestor import schemas
 from quaestor.plans import pipeline
+from quaestor.plans.samples import PAGE
 
 
 def start(spark):

@@ -223,3 +223,50 @@ def test_spread_only_where_partitions_are_few(spark):
     cores = spark.sparkContext.defaultParallelism
     assert "Exchange" in spread(spark.range(0, 100, 1, 1))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in spread(spark.range(0, 100, 1, cores))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_directory_crawl_skips_pages_that_fail(spark):
+    pages = {
+        "https://x.org/dir/": '<div class="abc-filter__letter"><a href="?udept=1&l=A">А</a><a>-</a></div><div class="abc-filter__letter"><a href="?udept=1&l=B">Б</a></div>',
+        "https://x.org/dir/?udept=7&l=A": '<div class="content__person-text"><a href="/staff/2">2</a><a href="/staff/1">1</a><a href="/staff/2">2</a></div>',
+        "https://x.org/dir/?udept=8&l=A": '<div class="content__person-text"><a href="/staff/1">1</a></div>',
+        "https://x.org/dir/?udept=8&l=B": '<div class="content__person-text"><a href="/staff/3">3</a></div><a href="/other">x</a>',
+        "https://x.org/dir/?udept=1&l=B": '<div class="content__person-text"><a href="/staff/9">9</a></div>',
+    }
+
+    def fetch(url, payload):
+        if url not in pages:
+            raise OSError("gone")
+        return pages[url]
+
+    one = lambda *a: [(r.url[-1], r.campus_id) for r in web.crawl_directory(spark, "https://x.org/dir/", *a, fetch=fetch).collect()]
+    assert one(["7", "8"]) == [("2", "7"), ("1", "7"), ("3", "8")] and one(["7", "8"], None, 2) == [("2", "7"), ("1", "7")]
+    assert one(["8"], "Б") == [("3", "8")] and one() == [("9", None)] and web.of_unit("https://x.org/?l=A", "7") == "https://x.org/?l=A"
+
+
+def test_readers_go_on_after_a_failure(monkeypatch):
+    def http(url, payload=None):
+        if url.endswith("/2") or (payload or {}).get("authorId") == 2:
+            raise OSError("down")
+        return json.dumps({"success": True, "data": [{"id": 1}]} if payload is None else {"result": {"items": [{"id": 5}], "more": False}})
+
+    monkeypatch.setattr(web, "http", http)
+    theses = web.ThesisSource({"url": "https://x.org/{}", "ids": "1,2,3"}).reader(None)
+    assert [r for p in theses.partitions() for r in theses.read(p)] == [(1, '{"id": 1}'), (3, '{"id": 1}')]
+    papers = web.PublicationSource({"url": "https://x.org/", "ids": "2,3"}).reader(None)
+    assert [r for p in papers.partitions() for r in papers.read(p)] == [(3, '{"id": 5}')]
+
+
+def test_own_names_and_rejects_are_no_topics(spark):
+    text_ = "Анна Мирославовна Вершинина. " + "Сетевой анализ рынка. Вершинина и Эконометрика Города. " * 3
+    df = spark.createDataFrame([(1, "Вершинина Анна Мирославовна", text_, ["эконометрика"])], "k int, name string, t string, no array<string>")
+    plain = enrich.extract_topics(df, "k", "t").head().tags
+    named = enrich.extract_topics(df, "k", "t", person_name="name", rejects="no").head().tags
+    assert any("вершинина" in t for t in plain) and named
+    assert not any(w in t for t in named for w in ("вершинина", "мирославовна", "анна", "эконометрика"))
+
+
+def test_context_keeps_the_newest_distinct_titles(spark):
+    rows = spark.createDataFrame([(1, 1, " A ", "2020"), (2, 1, "B", "2021"), (3, 1, "A", "2022"), (4, 1, "C", None), (5, 1, " ", "2023"), (6, None, "D", "2023")], "id int, person_id long, title string, academic_year string")
+    got = enrich.newest_titles(rows, "person_id", "academic_year", "id", "title", 2, "t").collect()
+    assert [(r.person_id, r.t) for r in got] == [(1, ["A", "B"])] and enrich.newest_titles(rows, "person_id", "academic_year", "id", "title", 9, "t").head().t == ["A", "B", "C"]
