@@ -117,7 +117,10 @@ def oracle_sql() -> dict[str, str]:
     squeeze = lambda c: rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]', '', 'g')"
     meta = rf"""array_to_string(list_sort(list_filter(list_transform(string_split_regex(raw_meta, '[;|\r\n]'), lambda x: {squeeze('x')}), lambda x: x <> '')), chr(1))"""
     courses = f"""SELECT id, person_id, title AS raw_title, to_json([person_id::VARCHAR, {squeeze('title')}, {squeeze('academic_year')}, {squeeze('language')}, {squeeze('level')}, {meta}]) AS k FROM courses"""
+    words = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    runs = lambda t, key: f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 8), lambda i: hash(w[i:i+9]))) AS g FROM (SELECT {key}, {words} AS w FROM {t} WHERE text IS NOT NULL)"
     return {
+        "p6_found": f"""WITH d AS ({runs("documents", "doc_id")}), i AS ({runs("eval_items", "item_id")}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)""",
         "p3_found": f"""WITH c AS ({courses}), g AS (SELECT *, min(id) OVER (PARTITION BY k) AS kept_id FROM c)
             SELECT DISTINCT kept_id, id AS copy_id FROM g WHERE id <> kept_id""",
         "p3_collapsed": f"""WITH c AS ({courses}), g AS (SELECT k, min(id) AS id, count(*) AS n_copies FROM c GROUP BY k)
