@@ -1,4 +1,10 @@
-"""Windows, symbols, decoding and reconciliation for the personal-data tagger."""
+"""Windows, symbols, decoding and reconciliation for the personal-data tagger.
+
+A trained gate reads every character of every text and says where windows for the
+tagger are laid: two tables of log odds, by a hash of three symbols and by six classes
+of signs, summed and averaged over a few characters.  Its threshold is set on held-out
+marks (`pii_train`), nothing about it is written by hand.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +20,9 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = 1 + 2 * len(KINDS)  # 0 outside; 1+2k begins kind k, 2+2k continues it
 WINDOW, OVERLAP, MARGIN = 192, 64, 36
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
+GATE = os.path.join(os.path.dirname(__file__), "pii_gate.npz")
+#: Size of the table of symbol runs; classes of signs and how many make a run; characters that are averaged.
+HASHED, CLASSES, RUN, BOX = 1 << 18, 8, 6, 8
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґäöüßéèêàâçîôûñáíóú"
 _SIGNS = " .,;:()[]@+-–—/\\№#'’\"«»!?_&%=<>|·•\n"
@@ -45,40 +54,71 @@ def symbols(text: str) -> np.ndarray:
     return _table()[np.where(points < 0x2200, points, 0x2199)]
 
 
-_UP = "A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ"
-_WORD = rf"[{_UP}][\w’'-]*"
-#: Shapes that can hold personal data; everything outside the margins of a match has none.
-#: Each begins with one class of characters, which the matcher finds quickly.
-_SHAPES = (
-    re.compile(rf"{_WORD}\.?,?\s*[{_UP}][\w’'.-]"),
-    re.compile(rf"\d(?:(?:[\s().+№–-]{{0,3}}\d){{8,}}|\d{{0,3}}\w?,?\s+{_WORD}\s+[{_UP}])"),
-    re.compile(r"@"),
-    re.compile(r"[\[(]\s*(?:at|AT|At|собака)\s*[\])]"),
-)
-_NUMBER = re.compile(r"\d+")
-_BEFORE_NUMBER = re.compile(rf"{_WORD}[.,]*(?:\s*\w{{1,14}}[.,]*){{0,2}}\s*$")
-_SIGN_WORDS = re.compile(r"\b(?:dot|DOT|точка|ТОЧКА|собака|СОБАКА)\b")
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of a text worth tagging, the long ones cut into overlapping windows."""
-    hits = [m.span() for rx in _SHAPES for m in rx.finditer(text)]
-    for m in _NUMBER.finditer(text):  # a number of up to four digits soon after a capital
-        start = m.start()
-        if m.end() - start <= 4 and (before := _BEFORE_NUMBER.search(text, max(0, start - 48), start)):
-            hits.append((before.start(), m.end()))
-    if any(w in text for w in ("dot", "DOT", "точка", "ТОЧКА", "собака", "СОБАКА")):
-        hits += [m.span() for m in _SIGN_WORDS.finditer(text)]
-    hits.sort()
-    spans: list[list[int]] = []
-    for start, end in hits:
-        a, b = max(0, start - MARGIN), min(len(text), end + MARGIN)
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
+@functools.cache
+def _classes() -> np.ndarray:
+    """Symbol to class of signs: small letter, capital, digit, space, full stop, comma and the like, sign of numbers and addresses, other."""
+    out = np.full(SYMBOLS, 7, np.int32)
+    for k in range(SYMBOLS):
+        base = k // 2 - _BASE
+        if base == -1:
+            out[k] = 2
+        elif base == -3 or 0 <= base < len(_LETTERS):
+            out[k] = k % 2
+        elif base >= len(_LETTERS):
+            sign = _SIGNS[base - len(_LETTERS)]
+            out[k] = 3 if sign in " \n" else 4 if sign == "." else 5 if sign in ",;:" else 6 if sign in "@+-–()[]/№" else 7
+    return out
+
+
+class Gate:
+    """Log odds of a character being part of a find, in sixteenths."""
+
+    def __init__(self, hashed: np.ndarray, runs: np.ndarray, least: float):
+        self.hashed, self.runs, self.least = hashed, runs, least
+
+    @classmethod
+    def load(cls, path: str = GATE) -> "Gate":
+        with np.load(path) as z:
+            return cls(z["hashed"], z["runs"], float(z["least"]))
+
+    def save(self, path: str = GATE) -> None:
+        np.savez_compressed(path, hashed=self.hashed, runs=self.runs, least=self.least)
+
+    @staticmethod
+    def codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the symbols and of the classes around each character."""
+        x = np.concatenate([np.zeros(3, np.int64), ids.astype(np.int64), np.zeros(3, np.int64)])
+        n = len(ids)
+        three = ((x[2 : 2 + n] * SYMBOLS + x[3 : 3 + n]) * SYMBOLS + x[4 : 4 + n]) * 0x9E3779B1 >> 13 & HASHED - 1
+        c = _classes()[x]
+        run = np.zeros(n, np.int64)
+        for k in range(RUN):
+            run = run * CLASSES + c[k : k + n]
+        return three, run
+
+    def score(self, ids: np.ndarray) -> np.ndarray:
+        """Mean over the BOX characters around each."""
+        three, run = self.codes(ids)
+        total = np.cumsum(np.concatenate([np.zeros(BOX // 2 + 1), self.hashed[three].astype(np.int32) + self.runs[run], np.zeros(BOX // 2)]))
+        return (total[BOX:] - total[:-BOX])[: len(ids)] / BOX
+
+    def hits(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.score(ids) >= self.least)
+
+
+@functools.cache
+def gate(path: str = GATE) -> Gate:
+    return Gate.load(path)
+
+
+def _laid(hits: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Windows around the given characters of a text of n, long stretches cut into overlapping windows."""
+    if not len(hits):
+        return []
+    edge = np.flatnonzero(np.diff(hits) > 2 * MARGIN) + 1
     out = []
-    for a, b in spans:
+    for a, b in zip(hits[np.r_[0, edge]].tolist(), hits[np.r_[edge - 1, len(hits) - 1]].tolist()):
+        a, b = max(0, a - MARGIN), min(n, b + 1 + MARGIN)
         while b - a > WINDOW:
             out.append((a, a + WINDOW))
             a += WINDOW - OVERLAP
@@ -86,6 +126,21 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_APART = "\n" * 16  # between texts that are read at once: wider than what the gate looks at
+
+
+def windows(texts: list[str], own: Gate | None = None) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Symbols of the joined texts, and windows: (text, start, end, where the text begins among the symbols)."""
+    ids = symbols(_APART.join(texts))
+    hits = (own or gate()).hits(ids)
+    out, start = [], 0
+    for k, text in enumerate(texts):
+        a, b = np.searchsorted(hits, (start, start + len(text)))
+        out += [(k, x, y, start) for x, y in _laid(hits[a:b] - start, len(text))]
+        start += len(text) + len(_APART)
+    return ids, out
+
+
 @functools.cache
 def tagger(path: str = WEIGHTS) -> BiLstmCrf:
     return BiLstmCrf.load(path)
@@ -208,14 +263,9 @@ def find(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, int]]]
     Overlapping windows are reconciled over the whole text: where two cover a
     character, the label of the window in which it lies farther from an edge counts.
     """
-    where, pieces = [], []
-    for k, text in enumerate(texts):
-        spots = windows(text)
-        if spots:
-            ids = symbols(text)
-            for a, b in spots:
-                where.append((k, a, b))
-                pieces.append(ids[a:b])
+    ids, spots = windows(texts)
+    where = [(k, a, b) for k, a, b, _ in spots]
+    pieces = [ids[s + a : s + b] for _, a, b, s in spots]
     labels: dict[int, np.ndarray] = {}
     reach: dict[int, np.ndarray] = {}
     for (k, a, b), got in zip(where, tag_windows(model, pieces)):

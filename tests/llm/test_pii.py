@@ -31,12 +31,23 @@ def test_long_text_is_tagged_to_its_end(spark):
 
 def test_overlapping_windows_agree_with_a_wide_view():
     dense = "; ".join(f"Краскрипов Олег Тимофеевич, kraskripov_{k}@staff.example.com" for k in range(10, 40))
-    assert len(windows(dense)) > 5 and all(b - a <= WINDOW for a, b in windows(dense))
+    spots = windows([dense])[1]
+    assert len(spots) > 5 and all(b - a <= WINDOW for _, a, b, _ in spots)
     found = find([dense], tagger())[0]
     emails = [dense[a:b] for a, b, k in found if k == 0]
     assert len(emails) >= 29 and all(e.endswith("@staff.example.com") for e in emails)
 
 
+def test_texts_read_at_once_have_the_windows_they_have_alone():
+    texts = [TEXT, "", "Ничего личного здесь нет.", TEXT[40:], "x", "Рынок меняет среду. " * 30 + TEXT]
+    ids, spots = windows(texts)
+    for k, text in enumerate(texts):
+        alone = windows([text])
+        assert [(a, b) for n, a, b, _ in spots if n == k] == [(a, b) for _, a, b, _ in alone[1]]
+        for n, a, b, start in spots:
+            assert n != k or (ids[start + a : start + b] == alone[0][a:b]).all()
+
+
 def test_grammar_labels(spark):
     given = given_names(["Словчеров Егор Вадимович", "Oscar Melparink"])
     text = "Критерий Шертунешева дал 6,31. Докладчик — Н.Г. Голквичев. Contact: Melparink, Oscar."
