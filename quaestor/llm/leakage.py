@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text, with a positional inverted index.
 
-The index is sharded by document: one row a shard holds the documents' places on one
-number line, and for every term its sorted list of positions on that line.  Shards
-are bounded by tokens, are written once to the shared folder and are then read to
-count how often each term occurs in the corpus and to search.  For each run of
+The index holds every token of the corpus and is sharded by document: one row a shard
+holds the documents' places on one number line, and for every term (a 64-bit hash of
+the word) its sorted list of positions on that line.  Shards are bounded by tokens and
+written once to the shared folder; any number of item sets can then be searched, each
+reading it to count how often the items' terms occur and to match.  For each run of
 `words` consecutive test terms the lists are shifted by the terms' offsets and
 intersected, beginning with the rarest terms, until all of them agree; that is an
 exact phrase match.  Proximity matches ask that at least `most` terms of the run lie
@@ -11,11 +12,12 @@ near their place.  Of the `words - most + 2` rarest terms at least two then do,
 are missing, so every pair of these is intersected with a tolerance, and the terms are
 counted at each place where the run can begin.
 
-Only terms of the test items are indexed.  Items are searched in blocks of bounded
-size, so any number of items can be searched with the same memory.
+Items are searched in blocks of bounded size, so any number of items can be searched
+with the same memory, and the corpus is never tokenised again.  In a shard only runs of
+which enough terms occur there are looked at.
 
 Defined results: null and empty texts hold nothing; items shorter than `words` terms
-cannot leak; words are maximal runs of letters and digits without case; repeated
+cannot leak; ids keep their type; words are maximal runs of letters and digits without case; repeated
 documents are reported each under its id, a repeated id once; empty tables give an
 empty result; other columns are ignored whatever their names.
 """
@@ -28,6 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,38 +44,50 @@ SHARD_TOKENS = 1_000_000
 BLOCK_CHARS = 2_000_000
 _GAP = 64
 
-_INDEX = "docs array<long>, starts array<long>, terms array<int>, counts array<int>, places array<long>"
-
-
 def terms_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def build_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], gap: int = _GAP) -> Stage:
-    """The stored index of the terms in `vocabulary`, a row a shard; `gap` places lie between two documents."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+class _Hashes(dict):
+    """Words to the 64-bit hashes that stand for them."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 500_000:  # bounds memory
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words)).view(np.int64)
+
+
+def build_index(docs: DataFrame, key: str, text: str, gap: int = _GAP) -> Stage:
+    """The stored index of all tokens, a row a shard; `gap` places lie between two documents."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = known.value.get
-        ids: list[int] = []
+        known = _Hashes()
+        ids: list = []
         starts: list[int] = []
         seen: list[np.ndarray] = []
         at = 0
 
         def shard() -> pd.DataFrame:
-            flat = np.concatenate(seen)
-            where = np.flatnonzero(flat >= 0)
-            term = flat[where]
+            place = np.concatenate([s + np.arange(len(x), dtype=np.int32) for s, x in zip(starts, seen)]).astype(np.int32)
+            term = np.concatenate(seen)
             order = np.argsort(term, kind="stable")
-            names, counts = np.unique(term, return_counts=True)
-            return pd.DataFrame({"docs": [np.array(ids, np.int64)], "starts": [np.array(starts, np.int64)], "terms": [names.astype(np.int32)], "counts": [counts.astype(np.int32)], "places": [where[order]]})
+            term, place = term[order], place[order]
+            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])[: len(term)]
+            return pd.DataFrame({"docs": [list(ids)], "starts": [np.array(starts, np.int32)], "terms": [term[first]], "counts": [np.diff(np.r_[first, len(term)]).astype(np.int32)], "places": [place]})
 
         for batch in batches:
             for i, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                found = np.fromiter((get(w, -1) for w in WORD.findall(t.lower())), np.int32)
+                found = known.of(WORD.findall(t.lower()))
+                if not len(found):
+                    continue
                 ids.append(i)
                 starts.append(at)
-                seen.append(np.concatenate([found, np.full(gap, -1, np.int32)]))
+                seen.append(found)
                 at += len(found) + gap
                 if at >= SHARD_TOKENS:
                     yield shard()
@@ -80,50 +95,65 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]
         if ids:
             yield shard()
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.length("t") > 0))
-    return Stage(spread(rows).mapInPandas(index, _INDEX), "postings")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.length("t") > 0))
+    return Stage(spread(rows).mapInPandas(index, f"docs array<{kind}>, starts array<int>, terms array<long>, counts array<int>, places array<int>"), "postings")
 
 
 class _Items:
-    """Runs of consecutive terms of the items, with the order in which to intersect them."""
+    """Runs of consecutive terms of the items, with the order in which to intersect them.
+
+    Terms are numbered by their place among the sorted hashes of the items' terms.
+    """
 
-    def __init__(self, items: list[tuple[int, list[int]]], frequency: np.ndarray, words: int):
-        self.words = words
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[object, np.ndarray]], hashes: np.ndarray, frequency: np.ndarray, words: int):
+        self.words, self.hashes = words, hashes
+        self.ids = [i for i, _ in items]
         item, start, runs = [], [], []
         for n, (_, terms) in enumerate(items):
-            for s in range(len(terms) - words + 1):
+            k = np.searchsorted(hashes, terms)
+            for s in range(len(k) - words + 1):
                 item.append(n)
                 start.append(s)
-                runs.append(terms[s : s + words])
+                runs.append(k[s : s + words])
         self.item, self.start = np.array(item, np.int64), np.array(start, np.int64)
         self.runs = np.array(runs, np.int64).reshape(-1, words)
         self.order = np.argsort(frequency[self.runs], axis=1, kind="stable") if len(runs) else self.runs
 
 
+def _found(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted `hashes` are among the sorted `terms`, and where."""
+    at = np.searchsorted(terms, hashes)
+    at[at == len(terms)] = 0
+    own = np.flatnonzero(terms[at] == hashes) if len(terms) else np.zeros(0, np.int64)
+    return own, at[own]
+
+
 def _search(shard: dict, items: _Items, slack: int, most: int):
-    """(doc, item, run, kind) matches of one shard."""
+    """(run, places, near) matches of one shard."""
     ends = np.cumsum(shard["counts"])
-    lists = {int(t): shard["places"][e - c : e] for t, c, e in zip(shard["terms"], shard["counts"], ends)}
-    none = np.zeros(0, np.int64)
+    own, at = _found(shard["terms"], items.hashes)
+    lists = {n: shard["places"][ends[k] - shard["counts"][k] : ends[k]].astype(np.int64) for n, k in zip(own.tolist(), at.tolist())}
+    present = np.zeros(len(items.hashes), bool)
+    present[own] = True
+    here = present[items.runs].sum(1)
+    if slack:
+        return _search_near(lists, items, np.flatnonzero(here >= most), slack, most)
     memo: dict[tuple, np.ndarray] = {}
     out = []
-    if slack:
-        return _search_near(lists, items, slack, most)
-    for r in range(len(items.runs)):
+    for r in np.flatnonzero(here == items.words):
         run, order = items.runs[r], items.order[r]
         # Runs that share their rarest pair share that intersection, up to a shift.
         a, b = int(order[0]), int(order[1])
         key = (int(run[a]), int(run[b]), b - a)
         pair = memo.get(key)
         if pair is None:
-            x, y = lists.get(key[0], none), lists.get(key[1], none)
+            x, y = lists[key[0]], lists[key[1]]
             pair = memo[key] = x[_in(x + (b - a), y)]
         if not len(pair):
             continue
         at = pair - a  # where the run would begin
         for j in order[2:]:
-            at = at[_in(at + int(j), lists.get(int(run[j]), none))]
+            at = at[_in(at + int(j), lists[int(run[j])])]
             if not len(at):
                 break
         if len(at):
@@ -131,14 +161,14 @@ def _search(shard: dict, items: _Items, slack: int, most: int):
     return out
 
 
-def _search_near(lists: dict[int, np.ndarray], items: _Items, slack: int, most: int):
+def _search_near(lists: dict[int, np.ndarray], items: _Items, runs: np.ndarray, slack: int, most: int):
     """Places where at least `most` terms of a run lie within `slack` of where they belong."""
     none = np.zeros(0, np.int64)
     memo: dict[tuple, np.ndarray] = {}
     out = []
     rare = min(items.words, items.words - most + 2)
     around = np.arange(-slack, slack + 1)
-    for r, (run, order) in enumerate(zip(items.runs.tolist(), items.order.tolist())):
+    for r, run, order in zip(runs.tolist(), items.runs[runs].tolist(), items.order[runs].tolist()):
         here = [j for j in order[:rare] if run[j] in lists]
         if len(here) < min(most, 2):
             continue
@@ -191,7 +221,7 @@ def _near(x: np.ndarray, y: np.ndarray, shift: int, slack: int) -> np.ndarray:
     return x[_close(x + shift, y, slack)] if len(x) and len(y) else x[:0]
 
 
-def _blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: Iterator[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for x in items:
         block.append(x)
@@ -210,21 +240,38 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     that lie in such passages.  With slack > 0 also passages (kind "near") of which at
     least `most` words of a run lie within `slack` places of where they belong.
     """
-    spark = docs.sparkSession
+    stage = build_index(docs, key, text, max(_GAP, words + 2 * slack))
+    return search_index(stage.df, items, item, item_text, words, slack, most)
+
+
+def search_index(index: DataFrame, items: DataFrame, item: str = "item_id", item_text: str = "text", words: int = WORDS, slack: int = 0, most: int | None = None) -> DataFrame:
+    """As `leaks`, over a stored index whose gap is at least words + 2 * slack."""
+    spark = index.sparkSession
+    key_type, item_type = index.schema["docs"].dataType.elementType.simpleString(), items.schema[item].dataType.simpleString()
+    schema = f"doc {key_type}, item_id {item_type}, longest int, coverage double, kind string"
     stages: list[DataFrame] = []
-    chosen = items.select(F.col(item).cast("long"), item_text).where(F.col(item).isNotNull() & (F.length(item_text) > 0)).distinct().orderBy(item)
-    for block in _blocks([tuple(r) for r in chosen.toLocalIterator()]):
-        tokens = [(i, terms_of(t)) for i, t in block]
-        vocabulary: dict[str, int] = {}
-        coded = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in t]) for i, t in tokens if len(t) >= words]
+    chosen = items.select(F.col(item), item_text).where(F.col(item).isNotNull() & (F.length(item_text) > 0)).distinct().orderBy(item, item_text)
+    known = _Hashes()
+    for block in _blocks(tuple(r) for r in chosen.toLocalIterator()):
+        coded = [(i, known.of(t)) for i, t in ((i, terms_of(t)) for i, t in block) if len(t) >= words]
         if not coded:
             continue
-        index = build_index(docs, key, text, vocabulary, max(_GAP, words + 2 * slack))
-        counts = index.df.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # a row a term of the items
-        frequency = np.zeros(len(vocabulary), np.int64)
-        for t, n in counts:
+        hashes = np.unique(np.concatenate([t for _, t in coded]))  # at most a block's words
+        asked = spark.sparkContext.broadcast(hashes)
+
+        def count(batches: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(asked.value), np.int64)
+            for batch in batches:
+                for terms, counts in zip(batch["terms"], batch["counts"]):
+                    own, at = _found(np.asarray(terms), asked.value)
+                    total[own] += np.asarray(counts)[at]
+            own = np.flatnonzero(total)
+            yield pd.DataFrame({"term": own, "n": total[own]})
+
+        frequency = np.zeros(len(hashes), np.int64)
+        for t, n in index.select("terms", "counts").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # a row a term of the block
             frequency[t] = n
-        lookup = spark.sparkContext.broadcast(_Items(coded, frequency, words))
+        lookup = spark.sparkContext.broadcast(_Items(coded, hashes, frequency, words))
         lengths = {i: len(t) for i, t in coded}
         need = words if most is None else most
 
@@ -242,13 +289,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     # A run can begin in the gap before its document, if its first words are missing or displaced; the
                     # last place it can reach is never in another document, as gaps are wider than a run with its slack.
                     doc = np.searchsorted(shard["starts"], at + own.words - 1 + slack, side="right") - 1
-                    hits = pd.DataFrame({"doc": shard["docs"][doc], "item_id": own.ids[own.item[run]], "line": at - own.start[run], "start": own.start[run], "near": near})
+                    hits = pd.DataFrame({"doc": [shard["docs"][x] for x in doc], "item_id": [own.ids[x] for x in own.item[run]], "line": at - own.start[run], "start": own.start[run], "near": near})
                     yield _summary(hits, own.words, lengths)
 
-        got = index.df.mapInPandas(search, "doc long, item_id long, longest int, coverage double, kind string")
+        got = index.mapInPandas(search, schema)
         stages.append(got)
     if not stages:
-        return spark.createDataFrame([], "doc long, item_id long, longest int, coverage double, kind string")
+        return spark.createDataFrame([], schema)
     out = stages[0]
     for x in stages[1:]:
         out = out.unionByName(x)

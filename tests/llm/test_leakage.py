@@ -126,3 +126,18 @@ def test_long_runs_do_not_reach_over_the_gap(spark):
     w = [f"t{k}" for k in range(90)]
     docs = [(d, " ".join(w[76:] if d % 2 else w[:12])) for d in range(90)]
     assert run(spark, docs, [(1, " ".join(w))], words=90, slack=2, most=20).count() == 0
+
+
+def test_text_ids_and_one_index_for_several_item_sets(spark, monkeypatch):
+    docs, items = corpus(3)
+    a = spark.createDataFrame([(None if d is None else f"d{d:03}", t) for d, t in docs], "doc_id string, text string")
+    stage = leakage.build_index(a, "doc_id", "text")
+    want = {(f"d{d:03}", f"i{i:03}") for d, i in brute([x for x in docs if x[0] is not None], items, 10)}
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    got = set()
+    for half in (items[:15], items[15:]):
+        b = spark.createDataFrame([(f"i{i:03}", t) for i, t in half], "item_id string, text string")
+        got |= {(r.doc, r.item_id) for r in leakage.search_index(stage.df, b).collect()}
+        near = {(r.doc, r.item_id) for r in leakage.search_index(stage.df, b, slack=2, most=8).collect()}
+        assert near >= {x for x in want if x[1] in {f"i{i:03}" for i, _ in half}}
+    assert got == want and want
