@@ -75,12 +75,3 @@ def score_tier(score: Column) -> Column:
     for least, name in reversed(SCORE_TIERS):
         out = F.when(score >= least, name).otherwise(out)
     return out
-
-
-def signature(v: Column, bits: int = 16, seed: int = 7, dim: int = DIMENSIONS) -> Column:
-    """Optional approximate index: sign bits of random hyperplanes, as an integer bucket."""
-    planes = np.random.default_rng(seed).standard_normal((bits, dim)).round(4)
-    out = F.lit(0)
-    for i, p in enumerate(planes):
-        out = out + F.when(dot(v, constant(p.tolist())) > 0, 1 << i).otherwise(0)
-    return out

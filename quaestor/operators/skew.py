@@ -19,14 +19,27 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt_from: Column, salts: int = 8) -> DataFrame:
+#: Rows of one key that may meet in one task.
+HOT_ROWS = 200_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt_from: Column, salts: int = 8, counted: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a side that may have hot keys with a side that has one row per key.
 
-    Left rows of one key spread over `salts` tasks by `salt_from`; the right side,
-    which has one row per key, is repeated that many times.
+    counted: column of the right side with the number of left rows of its key.  Then only
+    keys with more than `hot_rows` are salted, each over as many tasks as its rows need;
+    at most one key in `hot_rows` left rows is hot, so their list is broadcast.  Without
+    it the left rows of every key spread over `salts` tasks by `salt_from`, and the whole
+    right side is repeated that many times.
     """
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if counted is None:
+        a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
+        b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return a.join(b, [*on, "_salt"], how).drop("_salt")
+    parts = F.ceil(F.col(counted) / hot_rows).cast("int")
+    hot = right.where(F.col(counted) > hot_rows).select(*on, parts.alias("_salts"))
+    a = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_from), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(counted)
     return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 

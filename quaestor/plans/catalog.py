@@ -6,6 +6,7 @@ Arrays leave as joined text and scores are rounded, so results compare by value.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import html, lexicon, nested, profile_text, text, vector
-from quaestor.operators import paging
+from quaestor.operators import paging, vector_index
 from quaestor.operators.predicates import after_key, where_all
 from quaestor.plans import api, enrich, ingest, jobs, samples
 from quaestor.plans.api import Catalog
+from quaestor.plans.lineage import shared_folder
 from quaestor.sources import web
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -439,6 +441,14 @@ def score_tiers(c):
 _PQV = f"SELECT any_value(embedding) FROM publications WHERE id = (SELECT min(id) FROM publications WHERE {USABLE})"
 
 
+@query(f"""SELECT id, {cosine(_PQV)} AS score FROM {PUBS} WHERE {USABLE} ORDER BY score DESC, id LIMIT 10""")
+def vector_topk_indexed(c):
+    """The nearest publications by way of a stored index."""
+    path = f"{shared_folder(c.spark)}/quaestor-index-{uuid.uuid4().hex}"
+    vector_index.build_index(c.pubs("embedding"), "id", "embedding", path)
+    return vector_index.search_index(c.spark, path, "id", "embedding", _publication_vector(c), 10).select("id", "score")
+
+
 @query(f"""SELECT id, {cosine(_PQV)} AS score FROM {PUBS} WHERE {USABLE} AND year >= 2010 AND type = 'ARTICLE' ORDER BY score DESC, id LIMIT 20""")
 def semantic_publications(c):
     return api.semantic_publications(c, _publication_vector(c), 20, year_from=2010, type="ARTICLE").select("id", "score")

@@ -26,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: list["Stage"] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Removes all stages this session has written; for when no result that reads them is needed any more."""
+    own = [x for x in _WRITTEN if x._spark is spark]
+    for x in own:
+        x.drop()
+    return len(own)
+
+
 class Stage:
     """A data set written once and read any number of times."""
 
@@ -36,6 +47,7 @@ class Stage:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path)
         self.schema = spark.read.parquet(self.path).schema
+        _WRITTEN.append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -46,6 +58,8 @@ class Stage:
         jvm = self._spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _WRITTEN:
+            _WRITTEN.remove(self)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quaestor.functions import vector
 from quaestor.operators import paging
 from quaestor.operators.predicates import check_query, check_range, has_publications, where_all
 from quaestor.operators.skew import broadcast_if_small, salted_join
@@ -270,3 +271,48 @@ def test_context_keeps_the_newest_distinct_titles(spark):
     rows = spark.createDataFrame([(1, 1, " A ", "2020"), (2, 1, "B", "2021"), (3, 1, "A", "2022"), (4, 1, "C", None), (5, 1, " ", "2023"), (6, None, "D", "2023")], "id int, person_id long, title string, academic_year string")
     got = enrich.newest_titles(rows, "person_id", "academic_year", "id", "title", 2, "t").collect()
     assert [(r.person_id, r.t) for r in got] == [(1, ["A", "B"])] and enrich.newest_titles(rows, "person_id", "academic_year", "id", "title", 9, "t").head().t == ["A", "B", "C"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_counted_salting_equals_plain(spark, how):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k int, id int")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("k % 2 = 1")
+    got = salted_join(left, right, ["k"], how, F.col("id"), counted="n", hot_rows=20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right.drop("n"), ["k"], how).collect()))
+
+
+def test_index_finds_nine_of_ten_of_the_nearest(spark, tmp_path):
+    import numpy as np
+
+    from quaestor.operators.vector_index import build_index, search_index
+
+    pubs = spark.read.parquet("/root/testdata/sf0.1/publications.parquet").select("id", "embedding").dropDuplicates(["id"])
+    lists = build_index(pubs, "id", "embedding", str(tmp_path / "i"))
+    x = pubs.where(vector.usable(F.col("embedding"))).toPandas().sort_values("id")
+    v = np.array(x.embedding.tolist())
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, hit = x.id.to_numpy(), 0
+    asked = range(0, len(v), len(v) // 12)
+    for q in asked:
+        got = {r.id for r in search_index(spark, str(tmp_path / "i"), "id", "embedding", v[q].tolist(), 10).select("id").collect()}
+        hit += len(got & set(ids[np.argsort(-(v @ v[q]), kind="stable")[:10]]))
+    assert lists > 8 and hit >= 0.9 * 10 * len(asked)
+    every = search_index(spark, str(tmp_path / "i"), "id", "embedding", v[0].tolist(), 10, None).collect()
+    assert [r.id for r in every] == [r.id for r in vector.vector_top_k(pubs, "id", "embedding", v[0].tolist(), 10).collect()]
+
+
+def test_index_of_nothing(spark, tmp_path):
+    from quaestor.operators.vector_index import build_index, search_index
+
+    none = spark.createDataFrame([("a", [1.0]), ("b", None)], "id string, embedding array<float>")
+    build_index(none, "id", "embedding", str(tmp_path / "e"))
+    assert search_index(spark, str(tmp_path / "e"), "id", "embedding", [0.1] * 384, 3).count() == 0
+
+
+def test_stages_can_be_dropped(spark):
+    from quaestor.plans import lineage
+
+    stage = lineage.Stage(spark.range(3), "x")
+    assert stage.df.count() == 3 and lineage.drop_stages(spark) >= 1
+    with pytest.raises(Exception):
+        stage.df.count()
