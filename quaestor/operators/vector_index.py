@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from quaestor.functions.lexicon import DIMENSIONS
 from quaestor.functions.vector import usable, vector_top_k
@@ -69,7 +69,7 @@ def search_index(spark: SparkSession, path: str, key: str, vector: str, query: S
     """The k rows nearest to the query among the lists read, as `vector_top_k`; probes=-1 reads SHARE of the lists, but eight at least."""
     about = spark.read.schema("kind string, value string").parquet(f"{path}/about").collect()  # a row a list
     centres = np.array([json.loads(r.value) for r in about if r.kind == "centre"], np.float32)
-    schema = StructType.fromJson(json.loads(next(r.value for r in about if r.kind == "schema"))).add("_list", "int")
+    schema = StructType.fromJson(json.loads(next(r.value for r in about if r.kind == "schema"))).add("_list", IntegerType())
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     if probes is not None:
         n = max(8, int(SHARE * len(centres))) if probes < 0 else probes
