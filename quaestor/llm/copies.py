@@ -36,8 +36,8 @@ def listed(c: Column) -> Column:
 
 def _several(df: DataFrame, keys: list[str], row: str) -> DataFrame:
     """Rows whose class under `keys` has more than one member."""
-    many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return salted_join(df, many, keys, "left_semi", F.col(row))
+    many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    return salted_join(df, many, keys, "left_semi", F.col(row), counted="_n")
 
 
 def hidden_copies(df: DataFrame, key: str, fields: list[str], lists: list[str] = (), plain: list[str] = ()) -> DataFrame:
@@ -55,8 +55,8 @@ def hidden_copies(df: DataFrame, key: str, fields: list[str], lists: list[str] =
     rows = _several(rows.withColumn("_k1", letters), ["_k0", "_k1"], "_id")
     exact = F.to_json(F.struct(*p, *[squeezed(F.col(c)).alias(c) for c in f], *[listed(F.col(c)).alias(c) for c in s]))
     rows = cut(rows.select("_id", exact.alias("_k2")).distinct(), "copies1")
-    kept = rows.groupBy("_k2").agg(F.min("_id").alias("kept_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return salted_join(rows, kept, ["_k2"], "inner", F.col("_id")).where("_id <> kept_id").select("kept_id", F.col("_id").alias("copy_id"))
+    kept = rows.groupBy("_k2").agg(F.min("_id").alias("kept_id"), F.count("*").alias("_n")).where("_n > 1")
+    return salted_join(rows, kept, ["_k2"], "inner", F.col("_id"), counted="_n").where("_id <> kept_id").select("kept_id", F.col("_id").alias("copy_id"))
 
 
 def collapse(df: DataFrame, key: str, fields: list[str], lists: list[str] = (), plain: list[str] = ()) -> DataFrame:

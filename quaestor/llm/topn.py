@@ -37,23 +37,23 @@ def cutoffs(rows: DataFrame, group: str, n: int) -> DataFrame:
     """(group, _cut) of the groups with more than n rows (group, _code); codes are distinct within a group."""
     out: list[DataFrame] = []
     state = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi"))
-    state = cut(state.where(F.col("_n") > n).select(group, F.lit(n).cast("long").alias("_need"), "_lo", "_hi"), "state")
+    state = cut(state.where(F.col("_n") > n).select(group, F.lit(n).cast("long").alias("_need"), "_lo", "_hi", F.col("_n").alias("_rows")), "state")
     while not state.isEmpty():
         width = F.expr(f"(_hi - _lo) div {PARTS} + 1")
         # Only rows inside an open interval are read again in the next round.
-        inside = cut(salted_join(rows.select(group, "_code"), state, [group], "inner", F.col("_code")).where("_code between _lo and _hi"), "inside")
+        inside = cut(salted_join(rows.select(group, "_code"), state, [group], "inner", F.col("_code"), counted="_rows").where("_code between _lo and _hi"), "inside")
         rows = inside
         counts = inside.groupBy(group, ((F.col("_code") - F.col("_lo")) / width).cast("int").alias("_part")).agg(
             F.count("*").alias("_n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi"), F.first("_need").alias("_need"))
         # at most PARTS rows a group
-        parts = counts.groupBy(group, "_need").agg(F.array_sort(F.collect_list(F.struct("_part", "_n", "_lo", "_hi"))).alias("_p"))
+        parts = counts.groupBy(group, "_need").agg(F.sum("_n").alias("_rows"), F.array_sort(F.collect_list(F.struct("_part", "_n", "_lo", "_hi"))).alias("_p"))
         start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
         step = lambda a, x: F.when(a["before"] + F.coalesce(a["n"], F.lit(0)) >= F.col("_need"), a).otherwise(F.struct((a["before"] + F.coalesce(a["n"], F.lit(0))).alias("before"), x["_n"].alias("n"), x["_lo"].alias("lo"), x["_hi"].alias("hi")))
         moved = parts.select(group, "_need", F.aggregate("_p", start, step).alias("_s")).select(
-            group, (F.col("_need") - F.col("_s.before")).alias("_need"), F.col("_s.n").alias("_n"), F.col("_s.lo").alias("_lo"), F.col("_s.hi").alias("_hi"))
+            group, F.col("_s.n").alias("_rows"), (F.col("_need") - F.col("_s.before")).alias("_need"), F.col("_s.n").alias("_n"), F.col("_s.lo").alias("_lo"), F.col("_s.hi").alias("_hi"))
         moved = cut(moved, "bisect")
         out.append(moved.where("_need = _n or _lo = _hi").select(group, F.col("_hi").alias("_cut")))
-        state = moved.where("not (_need = _n or _lo = _hi)").select(group, "_need", "_lo", "_hi")
+        state = moved.where("not (_need = _n or _lo = _hi)").select(group, "_need", "_lo", "_hi", "_rows")
     if not out:
         return state.select(group, F.col("_hi").alias("_cut"))
     done = out[0]
@@ -66,6 +66,8 @@ def top_n(links: DataFrame, items: DataFrame, group: str, item: str, score: str,
     """The n best items of every group: (group, item).  links has (group, item), items has (item, score)."""
     codes = coded(items, item, score)
     pairs = links.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
-    rows = Stage(pairs.join(codes, item), "coded").df
+    # an item can be in very many groups
+    held = pairs.groupBy(item).agg(F.count("*").alias("_n"))
+    rows = Stage(salted_join(pairs, codes.join(held, item), [item], "inner", F.col(group), counted="_n"), "coded").df
     ends = cutoffs(rows.select(group, "_code"), group, n)
     return salted_join(rows, ends, [group], "left", F.col("_code")).where("_cut is null or _code <= _cut").select(group, item)

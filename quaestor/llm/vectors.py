@@ -103,27 +103,32 @@ def _codes(x: np.ndarray, centre: np.ndarray, turn: np.ndarray):
     return (d / np.maximum(n, 1e-12)[:, None]) @ turn, n
 
 
-def _estimate(base: np.ndarray, query: np.ndarray, centre: np.ndarray):
-    """Estimated inner products [queries, base] of unit vectors, and the error bound of each."""
+def _encoded(base: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One bit a dimension, how many are set, the two scalars of each code, and the product with the centre."""
     dim = base.shape[1]
-    turn = rotation(dim)
-    b, bn = _codes(base, centre, turn)
-    q, qn = _codes(query, centre, turn)
+    b, length = _codes(base, centre, rotation(dim))
     bits = b > 0
     fit = np.abs(b).sum(1) / np.sqrt(dim)  # inner product of the code with what it stands for
-    fit = np.maximum(fit, 1e-6)
+    return bits.astype(np.float32), bits.sum(1, dtype=np.float32), length, np.maximum(fit, 1e-6), base @ centre
+
+
+def _estimate(code: tuple[np.ndarray, ...], query: np.ndarray, centre: np.ndarray):
+    """Estimated inner products [queries, base] of unit vectors, and the error bound of each."""
+    bits, set_, bn, fit, along_centre = code
+    dim = query.shape[1]
+    q, qn = _codes(query, centre, rotation(dim))
     # the query as QUERY_BITS-bit integers with randomised rounding
     low, high = q.min(1, keepdims=True), q.max(1, keepdims=True)
     step = np.maximum((high - low) / (2**QUERY_BITS - 1), 1e-12)
     level = np.floor((q - low) / step + np.random.default_rng(3).random(q.shape, np.float32)).clip(0, 2**QUERY_BITS - 1)
     # level over the set bits; sums of small integers are exact in single precision, and a product is quicker than counting bits here
-    ones = level @ bits.astype(np.float32).T
+    ones = level @ bits.T
     # sum over dimensions of level * sign = 2 * (level over set bits) - all of level
-    along = (step * (2 * ones - level.sum(1)[:, None]) + low * (2 * bits.sum(1, dtype=np.float32)[None, :] - dim)) / np.float32(np.sqrt(dim))
+    along = (step * (2 * ones - level.sum(1)[:, None]) + low * (2 * set_[None, :] - dim)) / np.float32(np.sqrt(dim))
     cosine = along / fit[None, :]
     error = BOUND * np.sqrt((1 - fit**2).clip(0) / (dim - 1)) / fit
     scale = qn[:, None] * bn[None, :]
-    shift = (query @ centre)[:, None] + (base @ centre)[None, :] - float(centre @ centre)
+    shift = (query @ centre)[:, None] + along_centre[None, :] - float(centre @ centre)
     return scale * cosine + shift, scale * error[None, :]
 
 
@@ -200,10 +205,11 @@ def _best(base_ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, query:
     order = np.argsort(base_ids, kind="stable")
     base_ids, base = base_ids[order], base[order]
     place_of = {i: j for j, i in enumerate(base_ids)}
+    code = _encoded(base, centre)
     out: list[tuple] = []
     for a in range(0, len(query), QUERIES):
         qi, q, f = query_ids[a : a + QUERIES], query[a : a + QUERIES], floor[a : a + QUERIES]
-        guess, error = _estimate(base, q, centre)
+        guess, error = _estimate(code, q, centre)
         same = np.array([place_of.get(i, -1) for i in qi])
         own = np.flatnonzero(same >= 0)
         guess[own, same[own]] = -9.0

@@ -1,7 +1,7 @@
 import numpy as np
 
 from quaestor.llm import vectors
-from quaestor.llm.vectors import _estimate, nearest, similar_pairs
+from quaestor.llm.vectors import _encoded, _estimate, nearest, similar_pairs
 
 DIM = 384
 
@@ -55,7 +55,7 @@ def test_error_bound_holds_for_nearly_all():
     x = data(400, 3)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     centre = u.mean(0)
-    guess, error = _estimate(u, u[:60], centre)
+    guess, error = _estimate(_encoded(u, centre), u[:60], centre)
     assert (np.abs(guess - u[:60] @ u.T) <= error + 1e-3).mean() > 0.93
 
 
