@@ -13,6 +13,8 @@ PUBLICATION_TYPES = ("ARTICLE", "BOOK", "PREPRINT", "CHAPTER", "CONFERENCE", "TH
 JOB_STATES = ("queued", "running", "done", "failed", "cancelling", "cancelled")
 SCORE_TIERS = ((0.60, "strong"), (0.45, "medium"), (0.30, "weak"))
 DIMENSIONS, CONTEXT_CHARS, CONTEXT_GATE, MAX_TAGS, TEACHER_UNITS_MIN = 384, 5000, 250, 15, 30
+#: Fixed value: score of a candidate that is a recognised entity.
+ENTITY_SCORE = 0.6
 
 TEACHER_TITLE = r"(?U)(преподавател|доцент|профессор|ассистент|научный сотрудник|научный руководител|академическ\w+ руководител|заведующий кафедр)"
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import html, lexicon, nested, profile_text, text, vector
 from quaestor.operators import paging, vector_index
-from quaestor.operators.predicates import after_key, where_all
-from quaestor.plans import api, enrich, ingest, jobs, samples
+from quaestor.operators.predicates import after_key, has_publications, where_all
+from quaestor.plans import api, enrich, ingest, jobs, pipeline, samples
 from quaestor.plans.api import Catalog
 from quaestor.plans.lineage import shared_folder
 from quaestor.sources import web
@@ -105,7 +105,8 @@ def persons_ilike(c):
 
 @query("SELECT publications_total > 0 AS has_publications, count(*) AS n FROM persons GROUP BY 1")
 def persons_has_publications(c):
-    return c.persons.groupBy((F.col("publications_total") > 0).alias("has_publications")).agg(F.count("*").alias("n"))
+    one = lambda flag: where_all(c.persons, has_publications(flag)).groupBy(F.lit(flag).alias("has_publications")).agg(F.count("*").alias("n"))
+    return one(True).unionByName(one(False))
 
 
 @query("SELECT person_id FROM persons WHERE coalesce(list_contains(languages, 'немецкий'), false)")
@@ -125,7 +126,7 @@ def campuses_list(c):
 
 @query("SELECT campus_id FROM campuses WHERE campus_name ILIKE '%кампус%' ORDER BY campus_id LIMIT 1")
 def campus_resolve(c):
-    return c.campuses.where(text.contains_ci(F.col("campus_name"), "кампус")).orderBy("campus_id").limit(1).select("campus_id")
+    return c.spark.createDataFrame([(api.resolve_campus(c, "кампус"),)], "campus_id string").where("campus_id is not null")
 
 
 @query(f"""SELECT person_id, full_name, campus_name, len(languages) AS n_languages, substr(full_name, 1, 1) AS initial,
@@ -495,12 +496,12 @@ def course_rollup_by_title(c):
 
 @query("SELECT person_id, count(DISTINCT title) AS n FROM courses GROUP BY 1")
 def distinct_courses_per_person(c):
-    return c.courses.groupBy("person_id").agg(F.countDistinct("title").alias("n"))
+    return api.card_stats(c, c.courses.select("person_id").distinct()).select("person_id", F.col("courses").alias("n"))
 
 
 @query("SELECT person_id, count(*) AS n FROM thesis_supervisors GROUP BY 1")
 def theses_per_person(c):
-    return c.thesis_supervisors.groupBy("person_id").agg(F.count("*").alias("n"))
+    return api.card_stats(c, c.thesis_supervisors.select("person_id").distinct()).select("person_id", F.col("theses").alias("n"))
 
 
 @query("""SELECT p.person_id, coalesce(c.n, 0) AS courses, coalesce(t.n, 0) AS theses FROM persons p
@@ -509,9 +510,9 @@ def card_stats(c):
     return api.card_stats(c, c.persons)
 
 
-@query("SELECT person_id FROM persons WHERE person_id NOT IN (SELECT person_id FROM thesis_supervisors WHERE person_id IS NOT NULL)")
+@query(f"SELECT person_id FROM persons WHERE {TEACHES} AND person_id NOT IN (SELECT person_id FROM thesis_supervisors WHERE person_id IS NOT NULL)")
 def unsupervised_anti_join(c):
-    return c.persons.select("person_id").join(c.thesis_supervisors.select("person_id"), "person_id", "left_anti")
+    return pipeline.unsupervised({"persons": c.persons, "thesis_supervisors": c.thesis_supervisors})
 
 
 @query("""SELECT person_id, thesis_id, n FROM (SELECT s.person_id, t.thesis_id, row_number() OVER (PARTITION BY s.person_id ORDER BY t.year DESC NULLS LAST, t.thesis_id) AS n
@@ -529,7 +530,8 @@ def theses_ilike(c):
 
 @query("SELECT DISTINCT thesis_id, person_id FROM thesis_supervisors WHERE person_id IN (SELECT person_id FROM persons)")
 def known_supervisors(c):
-    return c.thesis_supervisors.select("thesis_id", "person_id").distinct().join(c.persons.select("person_id"), "person_id", "left_semi").select("thesis_id", "person_id")
+    rows = c.thesis_supervisors.select("thesis_id", "person_id").distinct()
+    return ingest.upsert_supervisors(rows.limit(0), rows, c.persons)
 
 
 @query("SELECT id, nullif(trim(split_part(raw_meta, ';', 1)), '') AS level FROM courses")
@@ -540,7 +542,8 @@ def course_level_of_meta(c):
 
 @query("SELECT person_id, min(id) AS id, title FROM courses GROUP BY person_id, title")
 def first_seen_dedupe(c):
-    return c.courses.groupBy("person_id", "title").agg(F.min("id").alias("id"))
+    key = F.to_json(F.struct(F.col("person_id"), F.coalesce("title", F.lit("\u0001"))))
+    return web.frontier(c.courses.select(key.alias("url"), "person_id", "title", "id"), "id").select("person_id", "id", "title")
 
 
 _PCTX_TH = "(SELECT s.person_id, t.title, t.year, t.thesis_id, row_number() OVER (PARTITION BY s.person_id ORDER BY t.year DESC NULLS LAST, t.thesis_id) AS n FROM (SELECT DISTINCT person_id, thesis_id FROM thesis_supervisors) s JOIN theses t USING (thesis_id))"
@@ -614,6 +617,20 @@ def person_topics(c):
     return enrich.extract_topics(ctx, "person_id", "context", person_name="full_name").select("person_id", joined("tags").alias("tags"))
 
 
+@query(samples.rows_sql([(x,) for x in samples.TAGS_KEPT], "tag"))
+def tag_rules(c):
+    """Which of a list of tags the rules keep, for a person of a name."""
+    rows = c.spark.createDataFrame([(x, samples.TAGS_OF) for x in samples.TAGS], "tag string, name string").withColumn("k", F.struct("name"))
+    return enrich.filter_tags(rows, "k", "tag", "k.name").select("tag")
+
+
+@query(samples.rows_sql([(samples.TOPICS,)], "tags"))
+def topics_of_a_text(c):
+    """Topics of a text about a person: no run with a part of the name, an entity that was recognised, none that was rejected."""
+    one = c.spark.createDataFrame([(1, *samples.TEXT_ABOUT)], "k int, name string, t string, entities array<string>, rejects array<string>")
+    return enrich.extract_topics(one, "k", "t", person_name="name", entities="entities", rejects="rejects").select(joined("tags").alias("tags"))
+
+
 @query()
 def publication_embeddings(c):
     """Hashed embeddings of publication contexts: id and length of the vector."""
@@ -683,6 +700,16 @@ def job_latest_state(c):
     return jobs.latest(_events(c), tie="event_id").select("job_id", "status", "processed", "started_at")
 
 
+@query(f"SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'cancelling' ELSE status END AS status FROM (SELECT user_id AS job_id, arg_max({_STATE}, (ts, event_id)) AS status FROM events GROUP BY 1)")
+def jobs_after_cancel(c):
+    return jobs.latest(_events(c), tie="event_id").select("job_id", jobs.after_cancel(F.col("status")).alias("status"))
+
+
+@query("SELECT least(100, count(*)) AS n FROM persons WHERE embedding IS NULL")
+def persons_to_enrich(c):
+    return pipeline.to_enrich(c.persons, only_empty=True, sample=100)
+
+
 @query("SELECT user_id AS job_id, count(*) AS total, round_even(least(50, count(*)) * 100.0 / count(*), 1)::DOUBLE AS percent FROM events GROUP BY 1")
 def job_progress(c):
     n = c.events.groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("total"))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaestor.functions import lexicon
 from quaestor.functions.text import (
@@ -134,17 +135,51 @@ def ngram_candidates(df: DataFrame, key: str, text: str, longest: int = 4) -> Da
     return each.groupBy(key, "tag").agg(F.count("*").alias("_n")).withColumn("score", F.least(F.lit(1.0), F.col("_n") * (0.2 + 0.1 * n))).drop("_n")
 
 
-def extract_topics(df: DataFrame, key: str, text: str, max_tags: int = lexicon.MAX_TAGS, person_name: str | None = None, rejects: str | None = None, lemmatise: Lemmatiser | None = None) -> DataFrame:
+def embedded_candidates(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], object], top: int, longest: int = 4, diversity: float = 0.5) -> DataFrame:
+    """(key, tag, score): the `top` word runs of each text by maximal marginal relevance; the score is the cosine with the whole text."""
+    import numpy as np
+
+    out = T.StructType([df.schema[key], T.StructField("tag", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def unit(x) -> np.ndarray:
+        x = np.asarray(x, np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text]):
+                words = [w for w in re.split(r"(?:[^\w-]|_)+", t.lower()) if len(w) > 1]
+                runs = list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)))
+                if runs:
+                    v = unit(embedder(runs))
+                    score = v @ unit(embedder([t]))[0]
+                    rows += [(k, runs[i], float(score[i])) for i in mmr(v, score, top, diversity)]
+            yield pd.DataFrame(rows, columns=[key, "tag", "score"])
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, out)
+
+
+def extract_topics(df: DataFrame, key: str, text: str, max_tags: int = lexicon.MAX_TAGS, person_name: str | None = None, rejects: str | None = None, lemmatise: Lemmatiser | None = None,
+                   embedder: Callable[[list[str]], object] | None = None, entities: str | None = None) -> DataFrame:
     """(key, tags) of every row; texts shorter than 50 characters have none.
 
     person_name: column with the name of the person the text is about; rejects: column
-    with an array of recognised names that are no topics.
+    with an array of recognised names that are no topics; entities: column with an array
+    of recognised entities that are candidates with a score of their own; embedder: then
+    candidates are scored by their likeness to the text and chosen for variety, else by
+    how often they come and how long they are.
     """
     extra = [x for x in (person_name, rejects) if x]
     long = df.where(F.length(text) >= 50)
     # as many candidates as a keyphrase model would hand over: twice the tags wanted
-    best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.length("tag").desc(), "tag")
-    found = ngram_candidates(long, key, text).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2 * max_tags).drop("_r")
+    if embedder is not None:
+        found = embedded_candidates(long, key, text, embedder, 2 * max_tags)
+    else:
+        best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.length("tag").desc(), "tag")
+        found = ngram_candidates(long, key, text).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2 * max_tags).drop("_r")
+    if entities:
+        found = found.unionByName(long.select(key, F.explode(entities).alias("tag"), F.lit(lexicon.ENTITY_SCORE).alias("score")))
     if extra:
         found = found.join(df.select(key, *extra), key)
     ranked = rank_tags(found, key, max_tags, person_name, rejects, lemmatise)

@@ -46,3 +46,24 @@ def recent(jobs: DataFrame, n: int = 20) -> DataFrame:
 
 def may_cancel(status: Column) -> Column:
     return status.isin("queued", "running")
+
+
+def after_cancel(status: Column) -> Column:
+    """The state a request to cancel leads to; a job that has ended keeps its state."""
+    return F.when(may_cancel(status), F.lit("cancelling")).otherwise(status)
+
+
+def start(spark: SparkSession, job_id: str, at, **fields) -> DataFrame:
+    """The first event of a job."""
+    return event(spark, job_id, at, "queued", **fields)
+
+
+def cancel(events: DataFrame, job_id: str, at) -> DataFrame:
+    """The event that asks a job to stop, none if it is already asked; fails for an unknown job and for one that has ended."""
+    row = latest(events.where(F.col("job_id") == job_id)).head()
+    if row is None:
+        raise LookupError(f"no job {job_id}")
+    if row.status in FINAL:
+        raise ValueError(f"job {job_id} has ended: {row.status}")
+    asked = event(events.sparkSession, job_id, at, "cancelling")
+    return asked if row.status in ("queued", "running") else asked.limit(0)

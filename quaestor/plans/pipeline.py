@@ -57,17 +57,30 @@ def unsupervised(current: Tables) -> DataFrame:
     return current["persons"].where(teaches(F.col("positions"))).select("person_id").join(current["thesis_supervisors"].select("person_id"), "person_id", "left_anti")
 
 
-def enrich_all(current: Tables, only_empty: bool = False) -> Tables:
-    """Next persons and publications with tags and vectors; contexts under the gate lose theirs."""
+def to_enrich(rows: DataFrame, only_empty: bool = False, sample: int | None = None) -> DataFrame:
+    """How many rows a run will process."""
+    n = F.count_if(F.col("embedding").isNull()) if only_empty else F.count("*")
+    return rows.agg((n if sample is None else F.least(n, F.lit(sample))).alias("n"))
+
+
+def enrich_all(current: Tables, only_empty: bool = False, sample: int | None = None) -> Tables:
+    """Next persons and publications with tags and vectors; contexts under the gate lose theirs.
+
+    sample: only so many of each, the first by id; the others stay as they are.
+    """
     ctx = enrich.person_contexts(current["persons"], current["publications"], current["authorships"], current["courses"], current["theses"], current["thesis_supervisors"])
     if only_empty:
         ctx = ctx.join(current["persons"].where("embedding is null").select("person_id"), "person_id", "left_semi")
+    if sample is not None:
+        ctx = ctx.orderBy("person_id").limit(sample)
     ctx = cut(ctx, "contexts")
     persons = ingest.write_back(current["persons"], enrich.enrich_persons(ctx), "person_id", ["interests_extracted", "embedding"])
     p = current["publications"].where("title <> ''")
     if only_empty:
         p = p.where("embedding is null")
     text = p.select("id", enrich.publication_context(F.col("title"), F.col("abstract_ru"), F.col("abstract_en"), F.col("venue")).alias("context")).dropDuplicates(["id"])
+    if sample is not None:
+        text = text.orderBy("id").limit(sample)
     text = cut(text, "contexts")
     found = enrich.extract_topics(text, "id", "context").withColumnRenamed("tags", "topics").join(text.select("id", enrich.embed(F.col("context")).alias("embedding")), "id")
     return {**current, "persons": persons, "publications": ingest.write_back(current["publications"], found, "id", ["topics", "embedding"])}

@@ -83,6 +83,15 @@ THESES = [
 THESIS_ROWS = [(31, "Тема", 2020, "Магистр", "С. С.", "Право", "/pr", "Факультет", True), (32, "Вторая", None, None, None, None, None, None, False)]
 SUPERVISORS = [(31, 55, "Иванов")]
 
+#: Tags of a person of this name, and what the rules leave of them.
+TAGS_OF = "Иванов Иван"
+TAGS = ["«Теория графов»", "стаж 15 лет", "интересы экономика труда", "иванов методы", "школы россии", "для рынка", "2020 году научно", "12.05.2020 год", "опыт работы в банке", "кот", "университет", "новые методы", "машинное обучение - сети", None, " "]
+TAGS_KEPT = ["теория графов", "экономика труда", "машинное обучение-сети"]
+
+#: (name, text, entities, rejects) and its topics.
+TEXT_ABOUT = ("Вершинина Анна", "Вершинина Анна: сетевой анализ рынка. Вершинина Анна: сетевой анализ рынка.", ["Эконометрика панелей"], ["рынка вершинина"])
+TOPICS = "сетевой анализ рынка|эконометрика панелей"  # 2 * (0.2 + 3 * 0.1) is more than an entity counts
+
 
 def literal(v) -> str:
     """A value as SQL."""

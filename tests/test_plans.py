@@ -316,3 +316,23 @@ def test_stages_can_be_dropped(spark):
     assert stage.df.count() == 3 and lineage.drop_stages(spark) >= 1
     with pytest.raises(Exception):
         stage.df.count()
+
+
+def test_topics_by_likeness_and_variety(spark):
+    df = spark.createDataFrame([(1, "сетевой анализ городского рынка труда и сетевой анализ миграции населения"), (2, None), (3, "коротко")], "k int, t string")
+    got = {r.k: r.tags for r in enrich.extract_topics(df, "k", "t", embedder=enrich.hash_embed).collect()}
+    assert got[2] == got[3] == [] and any("рынка" in t for t in got[1]) and any("миграции" in t for t in got[1])
+    few = enrich.embedded_candidates(df.where("k = 1"), "k", "t", enrich.hash_embed, 3).collect()
+    assert len(few) == 3 and all(0 < r.score <= 1 for r in few)
+
+
+def test_start_and_cancel(spark):
+    at = datetime(2026, 1, 1)
+    log = jobs.start(spark, "j", at, limit_count=5)
+    assert jobs.cancel(log, "j", datetime(2026, 1, 2)).head().status == "cancelling"
+    log = log.union(jobs.event(spark, "j", datetime(2026, 1, 2), "cancelling"))
+    assert jobs.cancel(log, "j", datetime(2026, 1, 3)).count() == 0
+    with pytest.raises(ValueError):
+        jobs.cancel(log.union(jobs.event(spark, "j", datetime(2026, 1, 4), "cancelled")), "j", datetime(2026, 1, 5))
+    with pytest.raises(LookupError):
+        jobs.cancel(log, "x", at)
