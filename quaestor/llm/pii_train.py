@@ -50,7 +50,8 @@ _PATRONYMIC = re.compile(r"(?:ович|евич|ьич|овн|евн|ичн|ovic
 _SURNAME = re.compile(r"[а-яёa-z'’-]{4,}$", re.I)
 
 
-_LATIN = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch . y . e yu ya i i e g".replace(".", "").split(" "), strict=True))
+#: Latin writing of Cyrillic letters.
+_LATIN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "і": "i", "ї": "i", "є": "e", "ґ": "g"}
 
 
 def latin(word: str) -> str:
