@@ -107,7 +107,7 @@ class _Items:
 
     def __init__(self, items: list[tuple[object, np.ndarray]], hashes: np.ndarray, frequency: np.ndarray, words: int):
         self.words, self.hashes = words, hashes
-        self.ids = [i for i, _ in items]
+        self.ids = pd.Series([i for i, _ in items]).to_numpy()
         item, start, runs = [], [], []
         for n, (_, terms) in enumerate(items):
             k = np.searchsorted(hashes, terms)
@@ -289,7 +289,7 @@ def search_index(index: DataFrame, items: DataFrame, item: str = "item_id", item
                     # A run can begin in the gap before its document, if its first words are missing or displaced; the
                     # last place it can reach is never in another document, as gaps are wider than a run with its slack.
                     doc = np.searchsorted(shard["starts"], at + own.words - 1 + slack, side="right") - 1
-                    hits = pd.DataFrame({"doc": [shard["docs"][x] for x in doc], "item_id": [own.ids[x] for x in own.item[run]], "line": at - own.start[run], "start": own.start[run], "near": near})
+                    hits = pd.DataFrame({"doc": shard["docs"][doc], "item_id": own.ids[own.item[run]], "line": at - own.start[run], "start": own.start[run], "near": near})
                     yield _summary(hits, own.words, lengths)
 
         got = index.mapInPandas(search, schema)
