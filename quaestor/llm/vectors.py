@@ -42,7 +42,7 @@ from quaestor.plans.lineage import Stage
 SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 16_384, 512
 #: Lists that every vector asks at least; standard deviations of the bound by which it asks more.
 PROBES, SPREADS = 3, 3.0
-BOUND, QUERY_BITS, GROUP = 2.0, 4, 8
+BOUND, QUERY_BITS, GROUP = 2.0, 4, 16
 #: A list with more rows than this is divided again where it is searched, and each query asks at least this many parts.
 DIVIDE, PARTS_ASKED, PART_SAMPLE = 2048, 6, 8192
 
