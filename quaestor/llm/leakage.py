@@ -195,9 +195,10 @@ def _search_near(lists: dict[int, np.ndarray], items: _Items, runs: np.ndarray,
                     if not len(at):
                         break
         if len(at):
-            exact = np.ones(len(at), bool)
-            for j in order:
-                exact &= _in(at + j, lists.get(run[j], none))
+            exact = hits == items.words  # all of them near: the only places that can be exact
+            if exact.any():
+                for j in order:
+                    exact[exact] = _in(at[exact] + j, lists.get(run[j], none))
             out += [(r, at[exact], False), (r, at[~exact], True)]
     return out
 
@@ -205,7 +206,7 @@ def _search_near(lists: dict[int, np.ndarray], items: _Items, runs: np.ndarray,
 def _in(x: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
     if not len(sorted_list):
         return np.zeros(len(x), bool)
-    p = np.searchsorted(sorted_list, x)
+    p = sorted_list.searchsorted(x)
     p[p == len(sorted_list)] = 0
     return sorted_list[p] == x
 
@@ -213,8 +214,10 @@ def _in(x: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 def _close(x: np.ndarray, sorted_list: np.ndarray, slack: int) -> np.ndarray:
     if not len(sorted_list):
         return np.zeros(len(x), bool)
-    p = np.searchsorted(sorted_list, x - slack)
-    return (p < len(sorted_list)) & (sorted_list[np.minimum(p, len(sorted_list) - 1)] <= x + slack)
+    p = sorted_list.searchsorted(x - slack)
+    inside = p < len(sorted_list)
+    p[~inside] = 0
+    return inside & (sorted_list[p] <= x + slack)
 
 
 def _near(x: np.ndarray, y: np.ndarray, shift: int, slack: int) -> np.ndarray:
