@@ -84,10 +84,16 @@ def list_person_publications(c: Catalog, person_id: int, page=1, page_size=20, *
     return paging.paginate(person_publications(c, person_id, **filters), newest_first(), page, page_size)
 
 
+def person_courses(c: Catalog, person_id: int, academic_year=None) -> DataFrame:
+    return where_all(c.courses.where(F.col("person_id") == person_id), equals("academic_year", academic_year))
+
+
+LATEST_YEAR = [lambda: F.col("academic_year").desc_nulls_last(), lambda: F.col("id").asc()]
+
+
 def list_person_courses(c: Catalog, person_id: int, page=1, page_size=20, academic_year=None) -> paging.Page:
     require(c.persons, "person_id", person_id)
-    rows = where_all(c.courses.where(F.col("person_id") == person_id), equals("academic_year", academic_year))
-    return paging.paginate(rows, [F.col("academic_year").desc_nulls_last(), F.col("id")], page, page_size)
+    return paging.paginate(person_courses(c, person_id, academic_year), [x() for x in LATEST_YEAR], page, page_size)
 
 
 def card_stats(c: Catalog, people: DataFrame) -> DataFrame:
