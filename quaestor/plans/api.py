@@ -15,7 +15,7 @@ from quaestor.functions import lexicon, nested, text, vector
 from quaestor.operators import paging
 from quaestor.operators.predicates import between, check_query, check_range, equals, has_publications, since, where_all
 from quaestor.plans import enrich
-from quaestor.sources.tables import exists, require, table
+from quaestor.sources.tables import exists, point, require, table
 
 
 class Catalog:
@@ -165,8 +165,14 @@ def forthcoming(raw: Column, year: Column, now: datetime) -> Column:
     return F.coalesce(status == "2", F.lit(False)) | F.coalesce(year > now.year, F.lit(False))
 
 
+def publication_cards(c: Catalog, pub_id: str) -> DataFrame:
+    """The card of a publication; no row where there is none."""
+    return with_authors(c, point(c.publications.drop("embedding"), "id", pub_id))
+
+
 def publication_card(c: Catalog, pub_id: str) -> DataFrame:
-    return with_authors(c, require(c.publications.drop("embedding"), "id", pub_id))
+    require(c.publications, "id", pub_id)
+    return publication_cards(c, pub_id)
 
 
 # --- search ----------------------------------------------------------------------
