@@ -2,11 +2,12 @@
 
 Vectors are assigned to lists by spherical k-means that is fitted on a bounded
 sample; every vector is indexed in its nearest list.  Its k-th best cosine within that
-list is a floor for what it still looks for.  It asks the `probes` nearest lists and
-every other list whose bound reaches the floor, however many those are: a vector in a
-dense topic asks all lists of that topic.  The bound is exact along the centroid and
-allows SPREADS standard deviations for what two residuals may share, as measured on the
-sample; close pairs that straddle two lists share more, hence the nearest lists.
+list is a floor for what it still looks for.  It asks the `probes` nearest lists, more
+of them in tables that are large beside the sample (`probes_for`), and every other list
+whose bound reaches the floor, however many those are: a vector in a dense topic asks
+all lists of that topic.  The bound is exact along the centroid and allows SPREADS
+standard deviations for what two residuals may share, as measured on the sample; close
+pairs that straddle two lists share more, hence the nearest lists.
 
 Within a list, residuals to the centroid are rotated by a random orthogonal matrix
 and kept as one bit a dimension plus two correction scalars.  Inner products are
@@ -16,9 +17,9 @@ upper error bound reaches the k-th best lower bound are reranked with the vector
 Neighbouring lists form groups, so that a vector travels once to a group and not once
 to a list.  A group of more than BLOCK rows is cut into blocks by the hash of the id
 and its queries visit each block; queries stream past the block, so no task holds more
-than a block of rows and an Arrow batch or two of queries.  The number of lists is
-bounded, so lists grow with the table: a list of more than DIVIDE rows is divided by a
-second k-means inside its task, and its parts are asked by the same bound.
+than a block of rows and an Arrow batch or two of queries.  The number of lists grows
+as the square root of a large table, so lists grow too: a list of more than DIVIDE rows
+is divided by a second k-means inside its task, and its parts are asked by the same bound.
 
 Defined results: null, empty, wrongly sized, all-zero vectors and those with NaN or
 infinite elements are left out; an id that repeats counts once; equal similarity
@@ -39,12 +40,16 @@ from pyspark.sql import functions as F
 from quaestor.operators.skew import spread
 from quaestor.plans.lineage import Stage
 
-SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 16_384, 512
+SAMPLE, LIST, MAX_LISTS, BLOCK, QUERIES = 24_000, 256, 2048, 32_768, 512
 #: Lists that every vector asks at least; standard deviations of the bound by which it asks more.
 PROBES, SPREADS = 3, 3.0
+#: Up to so many vectors for each of the sample its lists follow what is alike; beyond, a vector asks more lists.
+SERVED = 2.5
 BOUND, QUERY_BITS, GROUP = 2.0, 4, 16
 #: A list with more rows than this is divided again where it is searched, and each query asks at least this many parts.
-DIVIDE, PARTS_ASKED, PART_SAMPLE = 2048, 6, 8192
+DIVIDE, PARTS_ASKED, PART_SAMPLE = 8192, 6, 8192
+#: Rows of a list among which the k-th best is looked for before the search.
+FLOOR_ROWS = 2048
 
 
 @functools.cache
@@ -157,12 +162,22 @@ def reach(x: np.ndarray, floor: np.ndarray, centres: np.ndarray, low: np.ndarray
     return asks
 
 
-def groups_of(centres: np.ndarray) -> list[np.ndarray]:
-    """Neighbouring lists by at most GROUP, halved along their longest axis."""
+def lists_for(n: int) -> int:
+    """Lists of n vectors: in proportion up to 256, then as the square root, as the sample does not show more."""
+    return int(np.clip(n // LIST, 1, min(MAX_LISTS, max(256, int(n**0.5 / 3)))))
+
+
+def probes_for(n: int, probes: int = PROBES) -> int:
+    """Lists that a vector asks at least: more the thinner the sample is, as alike vectors then fall to more lists."""
+    return max(probes, round(probes * (n / (SERVED * SAMPLE)) ** 0.25))
+
+
+def groups_of(centres: np.ndarray, most: int = GROUP) -> list[np.ndarray]:
+    """Neighbouring lists by at most `most`, halved along their longest axis."""
     done, open_ = [], [np.arange(len(centres))]
     while open_:
         g = open_.pop()
-        if len(g) <= GROUP:
+        if len(g) <= most:
             done.append(g)
             continue
         c = centres[g] - centres[g].mean(0)
@@ -250,7 +265,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
     if not got:
         return empty
     sample = np.frombuffer(b"".join(got), np.float16).reshape(-1, dim).astype(np.float32)
-    lists = int(np.clip(n // LIST, 1, min(MAX_LISTS, max(1, len(sample) // 8))))
+    lists = min(lists_for(n), max(1, len(sample) // 8))
+    asked_least = probes_for(n, probes)
     fitted = kmeans(sample, lists)
     centres = spark.sparkContext.broadcast(fitted)
 
@@ -268,8 +284,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
             floor = np.full(len(x), least, np.float32)
             for own in np.split(np.arange(len(x)), np.flatnonzero(np.diff(home)) + 1):
                 own = own[np.unique(ids[own], return_index=True)[1]]  # repeats keep the lowest floor
-                for a in range(0, len(own), DIVIDE):
-                    some = own[a : a + DIVIDE]
+                for a in range(0, len(own), FLOOR_ROWS):
+                    some = own[a : a + FLOOR_ROWS]
                     if len(some) > k:
                         s = x[some] @ x[some].T
                         np.fill_diagonal(s, -9.0)
@@ -284,7 +300,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
     stage = Stage(placed.repartition(tasks, "list").sortWithinPartitions("list").mapInArrow(bounded, "list int, id string, x binary, near float, floor float"), "lists")
     held = {r[0]: r for r in stage.df.groupBy("list").agg(F.count("*"), F.min("near"), F.max("near")).collect()}  # a row a list
     low, high = (np.array([held[j][c] if j in held else 1.0 for j in range(lists)], np.float32) for c in (2, 3))
-    groups = [g for g in ([j for j in g if j in held] for g in groups_of(fitted)) if g]
+    groups = [g for g in ([j for j in g if j in held] for g in groups_of(fitted, int(np.clip(BLOCK * lists // n, 1, GROUP)))) if g]
     # Large groups: rows go to one block by their id, queries to each block of the group.
     blocks = [-(-sum(held[j][1] for j in g) // BLOCK) for g in groups]
     first = np.concatenate([[0], np.cumsum(blocks)])
@@ -294,7 +310,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
         groups, blocks, first, low, high, apart = shared.value
         for batch in batches:
             home, x = batch.column(0).to_numpy(), _unpacked(batch.column(2), dim)
-            asks = reach(x, batch.column(4).to_numpy(), centres.value, low, high, apart, probes)
+            asks = reach(x, batch.column(4).to_numpy(), centres.value, low, high, apart, asked_least)
             asks[np.arange(len(x)), home] = True
             code = np.array([zlib.crc32(i.encode()) for i in batch.column(1).to_pylist()])
             for g, own in enumerate(groups):
@@ -345,7 +361,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1
             yield from answer()
 
     asked = stage.df.mapInArrow(ask, "part int, base boolean, mask int, list int, id string, x binary, floor float")
-    tasks = int(np.clip(n * dim * 2 * probes / 4e6, 8, max(8, first[-1])))
+    tasks = int(np.clip(n * dim * 2 * asked_least / 4e6, 8, max(8, first[-1])))
     found = asked.repartition(tasks, "part").sortWithinPartitions("part", F.desc("base")).mapInArrow(search, "id string, neighbour string, cosine float")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
     return found.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")

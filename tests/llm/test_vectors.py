@@ -99,3 +99,15 @@ def test_neighbours_below_any_threshold_are_found(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     want = {(f"{i:05d}", f"{j:05d}") for i in range(len(x)) for j in np.argsort(-s[i])[:10]}
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_small_topics_that_the_sample_does_not_show_keep_their_recall(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    n = 4000
+    topic = r.standard_normal((n // 8, DIM))
+    x = (topic[r.integers(0, len(topic), n)] + 0.6 * r.standard_normal((n, DIM))).astype(np.float32)
+    df = frame(spark, [(f"{i:05d}", v.tolist()) for i, v in enumerate(x)])
+    monkeypatch.setattr(vectors, "SAMPLE", 160)
+    monkeypatch.setattr(vectors, "LIST", 8)
+    got, want = {tuple(q) for q in similar_pairs(df, "id", "v", 10, 0.6).collect()}, brute(x, 10, 0.6)
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
