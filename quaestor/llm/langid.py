@@ -2,8 +2,10 @@
 
 One interpolated Kneser-Ney character model a language (`kneser_ney`).  The models
 start from a short text a language that is part of this module, and are then fitted on
-a bounded sample of stored texts (SAMPLE a label) of which only those are used that
-the first models give, with a clear margin, the language of their label.
+all stored texts with a label, of which only those are used that the first models give,
+with a clear margin, the language of their label.  Words are counted where the texts
+are; the driver gets a row a language and word.  A fifth of the texts, by the hash of
+their key, is held out for the bounds.
 
 A word's cost in a language is its cross-entropy.  A text is cut into segments by the
 cheapest path over its words, where a change of language costs SWITCH nats.  Each
@@ -19,21 +21,24 @@ costs go to the language first in LANGUAGES; empty tables give an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.kneser_ney import KneserNey, _points
 from quaestor.operators.skew import spread
 
 LANGUAGES = ("ru", "en", "de", "fr", "es", "uk")
-SAMPLE, SAMPLE_CHARS, SWITCH, PASSAGE = 150, 1500, 9.0, 5
+SWITCH, PASSAGE, HELD_OUT = 9.0, 5, 5
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+CHUNK_CHARS = 1_000_000  # characters of texts that are scored together when models are fitted
 LONGEST = 40  # letters that are scored at once; longer runs are scored in pieces
 
 #: First letters of the names a label may use for a language.
@@ -62,8 +67,13 @@ def _words(text: str) -> list[str]:
 class Identifier:
     """The models of all languages and what held-out text of each looks like."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], counts: dict[str, Counter] | None = None):
+        """texts and counts: what the models are fitted on, as texts and as how often each word occurs."""
         own = {k: Counter(w[i : i + LONGEST] for t in v for w in _words(t) for i in range(0, len(w), LONGEST)) for k, v in texts.items()}
+        for k, words in (counts or {}).items():
+            for w, n in words.items():
+                for i in range(0, len(w), LONGEST):
+                    own[k][w[i : i + LONGEST]] += n
         self.models = [(i, KneserNey(own[k])) for i, k in enumerate(LANGUAGES)]
         for k in ("ru", "uk"):
             roman: Counter = Counter()
@@ -78,14 +88,16 @@ class Identifier:
         self.bound = np.full(len(LANGUAGES), 4.2, np.float32)
         self.spread = np.full(len(LANGUAGES), 0.4, np.float32)
 
-    def calibrate(self, held: dict[str, list[str]]) -> "Identifier":
-        """Sets the rejection bound of each language from texts the models were not fitted on."""
+    def calibrate(self, held: dict[str, tuple[int, float, float, float]]) -> "Identifier":
+        """Sets the rejection bound of each language from texts the models were not fitted on.
+
+        held: number of texts, and sum, sum of squares and maximum of their cross-entropies a letter.
+        """
         for i, k in enumerate(LANGUAGES):
-            docs = [w for w in self.split([_words(t) for t in held.get(k, ())]) if len(w) >= PASSAGE]
-            x = [-float(self.table[w, i].sum() / self.letters[w].sum()) for w in docs]
-            if len(x) >= 8:
-                self.spread[i] = max(0.15, float(np.std(x)))
-                self.bound[i] = float(np.max(x)) + 3 * self.spread[i]
+            n, total, squares, most = held.get(k, (0, 0.0, 0.0, 0.0))
+            if n >= 8:
+                self.spread[i] = max(0.15, max(0.0, squares / n - (total / n) ** 2) ** 0.5)
+                self.bound[i] = most + 3 * self.spread[i]
         return self
 
     def ids(self, words: list[str]) -> np.ndarray:
@@ -181,29 +193,78 @@ def label_language(label: Column) -> Column:
     return out
 
 
-def _sampled(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """At most SAMPLE texts of each label, chosen by hash."""
-    rows = df.select(label_language(F.col(label)).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.col(key)).alias("h")).where("lang is not null and length(trim(t)) >= 40")
-    w = Window.partitionBy("lang").orderBy("h", "t")
-    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select("lang", "t")
+def _labelled(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(lang, t, held) of all texts whose label names a language."""
+    rows = spread(df.select(key, text, label)).select(label_language(F.col(label)).alias("lang"), F.col(text).alias("t"), (F.pmod(F.xxhash64(F.col(key)), F.lit(HELD_OUT)) == 0).alias("held"))
+    return rows.where("lang is not null and length(trim(t)) >= 40")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
+    """(lang, text) pairs by about CHUNK_CHARS characters."""
+    own: list[tuple[str, str]] = []
+    size = 0
+    for batch in batches:
+        for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own.append((lang, t))
+            size += len(t)
+            if size >= CHUNK_CHARS:
+                yield own
+                own, size = [], 0
+    if own:
+        yield own
+
+
+def _confirmed(model: Identifier, rows: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """Language and words of the texts to which the models give, with a clear margin, the language of their label."""
+    model.forget()
+    docs = [_words(t) for _, t in rows]
+    ids = model.split(docs)
+    return [(lang, d) for (lang, _), d, w, path in zip(rows, docs, ids, model.paths(ids)) if len(w) >= 4 and (path == LANGUAGES.index(lang)).all() and model.judge(w)[1] > 0.3]
+
+
+def _counted(rows: list[DataFrame], model: Identifier) -> dict[str, Counter]:
+    """How often each word occurs in the confirmed texts that are not held out."""
+    held = rows[0].sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            words: Counter = Counter()
+            for lang, d in _confirmed(held.value, chunk):
+                words.update((lang, w) for w in d)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in words], pa.string()), "word": pa.array([w for _, w in words], pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+
+    each = [r.where("not held").select("lang", "t").mapInArrow(count, "lang string, word string, n long") for r in rows]
+    out: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
+    for lang, w, n in functools.reduce(DataFrame.union, each).groupBy("lang", "word").agg(F.sum("n")).collect():  # a row a language and word
+        out[lang][w] = n
+    return out
+
+
+def _held_out(rows: list[DataFrame], model: Identifier, fitted: Identifier) -> dict[str, tuple[int, float, float, float]]:
+    """What `calibrate` asks for, of the held-out texts that `model` confirms."""
+    both = rows[0].sparkSession.sparkContext.broadcast((model, fitted))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, own = both.value
+        for chunk in _chunks(batches):
+            own.forget()
+            some = [(lang, d) for lang, d in _confirmed(first, chunk) if len(d) >= PASSAGE]
+            x = [-float(own.table[w, LANGUAGES.index(lang)].sum() / own.letters[w].sum()) for (lang, _), w in zip(some, own.split([d for _, d in some]))]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang for lang, _ in some], pa.string()), "x": pa.array(x, pa.float64())})
+
+    each = [r.where("held").select("lang", "t").mapInArrow(score, "lang string, x double") for r in rows]
+    got = functools.reduce(DataFrame.union, each).groupBy("lang").agg(F.count("*"), F.sum("x"), F.sum(F.col("x") * F.col("x")), F.max("x")).collect()
+    return {r[0]: tuple(r[1:]) for r in got}
 
 
 def fit(labelled: list[tuple[DataFrame, str, str, str]]) -> Identifier:
-    """Models from the seeds and from (table, key, text, label) samples."""
-    texts: dict[str, list[str]] = {k: [] for k in LANGUAGES}
-    for part in labelled:
-        for lang, t in _sampled(*part).orderBy("lang", "t").collect():  # SAMPLE texts a language
-            texts[lang].append(t)
-    model = Identifier({k: [v] for k, v in SEEDS.items()})
-    for _ in range(2):
-        kept: dict[str, list[str]] = {k: [] for k in LANGUAGES}
-        for lang, own in texts.items():
-            docs = model.split([_words(t) for t in own])
-            for t, w, path in zip(own, docs, model.paths(docs)):
-                if len(w) >= 4 and (path == LANGUAGES.index(lang)).all() and model.judge(w)[1] > 0.3:
-                    kept[lang].append(t)
-        fitted = {k: [SEEDS[k], *[t for i, t in enumerate(v) if i % 5]] for k, v in kept.items()}
-        model = Identifier(fitted).calibrate({k: v[::5] for k, v in kept.items()})
+    """Models from the seeds and from all texts of (table, key, text, label)."""
+    rows = [_labelled(*part) for part in labelled]
+    seeds = {k: [v] for k, v in SEEDS.items()}
+    model = Identifier(seeds)
+    for _ in range(2 if rows else 0):
+        fitted = Identifier(seeds, _counted(rows, model))
+        model = fitted.calibrate(_held_out(rows, model, fitted))
     return model
 
 
@@ -232,7 +293,7 @@ def segments_of(model: Identifier, texts: list[str | None]) -> list[list[dict]]:
 
 def identify(df: DataFrame, columns: list[str], model: Identifier) -> DataFrame:
     """Adds <column>_segments for each text column."""
-    held = df.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(_SEGMENTS)
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

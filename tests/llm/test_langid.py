@@ -81,3 +81,11 @@ def test_a_run_of_letters_is_scored_to_its_end():
     whole, head, tail = model.ids([a[:40] + b, a[:40], b])
     assert model.letters[whole] == pytest.approx(model.letters[head] + model.letters[tail], abs=len(b) / 40 + 1)
     assert LANGUAGES[int(model.table[whole].argmax())] == "en" and LANGUAGES[int(model.table[head].argmax())] == "ru"
+
+
+def test_models_are_fitted_on_all_texts_and_whole(spark):
+    plain = "in this paper we consider how society and the state influence the development of science " + "and education of the region " * 60
+    rows = [(i, plain + "zorblatting" * (i % 20 == 1), "en") for i in range(400)]  # in a few texts, far from their beginning
+    model = fit([(spark.createDataFrame(rows, "id long, text string, lang string"), "id", "text", "lang")])
+    w = model.ids(["zorblatting"])
+    assert -model.table[w, LANGUAGES.index("en")].sum() / model.letters[w].sum() < 1.5
