@@ -55,23 +55,31 @@ class BiLstmCrf:
         h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
         out = np.empty((t_n, b, n), np.float32)
         tape = []
+        # the sigmoid's half goes into the weights once: a power of two, so every result stays as it is
+        half = np.r_[np.full(3 * n, 0.5), np.ones(n)].astype(np.float32)
+        table, w = table * half, w * half
+        z, hw, tc = np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32), np.empty((b, n), np.float32)
+        whole = mask.all(axis=(1, 2))
         for t in range(t_n - 1, -1, -1) if back else range(t_n):
-            z = table[ids[t]]
-            z += h @ w
-            s = z[:, : 3 * n]
-            s *= 0.5
+            if keep:
+                z, tc = np.empty_like(z), np.empty_like(tc)
+            np.take(table, ids[t], axis=0, out=z, mode="clip")
+            z += np.matmul(h, w, out=hw)
             np.tanh(z, out=z)
+            s = z[:, : 3 * n]
             s *= 0.5
             s += 0.5
             i, f, o, g = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
             c0, h0 = c, h
             c = f * c
             c += i * g
-            c *= mask[t]
-            tc = np.tanh(c)
-            h = o * tc
-            h *= mask[t]
-            out[t] = h
+            if not whole[t]:
+                c *= mask[t]
+            np.tanh(c, out=tc)
+            h = out[t]
+            np.multiply(o, tc, out=h)
+            if not whole[t]:
+                h *= mask[t]
             if keep:
                 tape.append((t, i, f, o, g, c0, tc, h0))
         return out, tape
@@ -87,22 +95,19 @@ class BiLstmCrf:
         """Most likely label of every position, [T, B]; meaningless where mask is 0."""
         e = self.emissions(ids, mask)[0]
         t_n, b, k = e.shape
-        best = self.p["st"] + e[0]
-        back = np.zeros((t_n, b, k), np.int8)
-        tr = self.p["tr"].T[None]
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        best = np.empty((t_n, k, b), np.float32)
+        best[0] = self.p["st"][:, None] + e[0]
+        tr = self.p["tr"][:, :, None]
         for t in range(1, t_n):
-            s = best[:, None, :] + tr  # [B, to, from]
-            a = s.argmax(2)
-            back[t] = a
-            new = np.take_along_axis(s, a[:, :, None], 2)[:, :, 0] + e[t]
-            best = np.where(mask[t][:, None], new, best)
+            new = (best[t - 1][:, None] + tr).max(0) + e[t]  # [from, to, B]
+            best[t] = np.where(mask[t], new, best[t - 1])
         path = np.zeros((t_n, b), np.int8)
-        cur = best.argmax(1)
-        rows = np.arange(b)
+        cur = best[-1].argmax(0)
         for t in range(t_n - 1, -1, -1):
             path[t] = cur
-            if t:
-                cur = np.where(mask[t], back[t, rows, cur], cur)
+            if t:  # where the best way to a label came from is asked for the labels of the path only
+                cur = np.where(mask[t], (best[t - 1] + self.p["tr"][:, cur]).argmax(0), cur)
         return path
 
     def loss_and_grads(self, ids, mask, gold):

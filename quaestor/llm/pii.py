@@ -2,8 +2,7 @@
 
 Method: a character BiLSTM with CRF transitions (`lstm_crf`), trained in numpy
 from labelled spans (`pii_train`), runs over overlapping windows whose labels are
-reconciled over the whole text (`pii_model`).  A trained gate reads every character of
-every text and says where the windows are laid; what it reaches is measured.
+reconciled over the whole text (`pii_model`).  The windows cover every character.
 
 Defined results: a null text gives no finds and stays null; an empty text stays
 empty; rows are independent, so ties and repeated rows give equal results; an

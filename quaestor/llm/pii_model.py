@@ -1,9 +1,9 @@
 """Windows, symbols, decoding and reconciliation for the personal-data tagger.
 
-A trained gate reads every character of every text and says where windows for the
-tagger are laid: two tables of log odds, by a hash of three symbols and by six classes
-of signs, summed and averaged over a few characters.  Its threshold is set on held-out
-marks (`pii_train`), nothing about it is written by hand.
+The tagger reads every character of every text.  A trained gate chooses the windows
+that it learns from (`pii_train`): two tables of log odds, by a hash of three symbols and
+by six classes of signs, summed and averaged over a few characters.  Its threshold is set
+on held-out marks, nothing about it is written by hand.
 """
 
 from __future__ import annotations
@@ -106,11 +106,6 @@ class Gate:
         return np.flatnonzero(self.score(ids) >= self.least)
 
 
-@functools.cache
-def gate(path: str = GATE) -> Gate:
-    return Gate.load(path)
-
-
 def _laid(hits: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Windows around the given characters of a text of n, long stretches cut into overlapping windows."""
     if not len(hits):
@@ -130,9 +125,12 @@ _APART = "\n" * 16  # between texts that are read at once: wider than what the g
 
 
 def windows(texts: list[str], own: Gate | None = None) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """Symbols of the joined texts, and windows: (text, start, end, where the text begins among the symbols)."""
+    """Symbols of the joined texts, and windows: (text, start, end, where the text begins among the symbols).
+
+    The windows cover every character, or with a gate of its own what that lets through.
+    """
     ids = symbols(_APART.join(texts))
-    hits = (own or gate()).hits(ids)
+    hits = own.hits(ids) if own else np.arange(len(ids))
     out, start = [], 0
     for k, text in enumerate(texts):
         a, b = np.searchsorted(hits, (start, start + len(text)))

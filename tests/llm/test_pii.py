@@ -1,5 +1,7 @@
+import numpy as np
+
 from quaestor.llm.pii import find_pii, pii_finds
-from quaestor.llm.pii_model import WINDOW, find, tagger, windows
+from quaestor.llm.pii_model import SYMBOLS, WINDOW, find, tagger, windows
 from quaestor.llm.pii_train import given_names, marked
 
 TEXT = "Показано, что рынок меняет среду. E-mail: kraskripov_96@staff.example.com. Тел.: +7 (537) 597-21-01. Живёт по адресу ул. Полынная, д. 11, корп. 2. Руководитель: Дарья Денисовна Драгляднина. СНИЛС 944-438-596 49."
@@ -38,6 +40,29 @@ def test_overlapping_windows_agree_with_a_wide_view():
     assert len(emails) >= 29 and all(e.endswith("@staff.example.com") for e in emails)
 
 
+def test_every_character_is_read_by_the_tagger():
+    texts = ["Экономический рынок формирует когнитивное управление. " * 40, "", "x", "И. о. декана: смотри стр. 5", TEXT]
+    spots = windows(texts)[1]
+    for k, text in enumerate(texts):
+        assert {p for n, a, b, _ in spots if n == k for p in range(a, b)} == set(range(len(text)))
+
+
+def test_labels_are_the_best_path():
+    model, r = tagger(), np.random.default_rng(3)
+    ids, mask = r.integers(1, SYMBOLS, (40, 12)), np.arange(40)[:, None] < r.integers(5, 41, 12)
+    got, e = model.decode(ids, mask), model.emissions(ids, mask)[0]
+    for j in range(12):
+        best, ways = model.p["st"] + e[0, j], []
+        for t in range(1, int(mask[:, j].sum())):
+            s = best[:, None] + model.p["tr"]
+            ways.append(s.argmax(0))
+            best = s.max(0) + e[t, j]
+        path = [best.argmax()]
+        for way in reversed(ways):
+            path.append(way[path[-1]])
+        assert got[: len(path), j].tolist() == path[::-1]
+
+
 def test_texts_read_at_once_have_the_windows_they_have_alone():
     texts = [TEXT, "", "Ничего личного здесь нет.", TEXT[40:], "x", "Рынок меняет среду. " * 30 + TEXT]
     ids, spots = windows(texts)
