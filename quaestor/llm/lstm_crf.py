@@ -2,13 +2,16 @@
 
 The input layer is one table per direction that holds, for every symbol, its
 contribution to the four gates, so a step costs one look-up and one product
-with the recurrent matrix.  All arrays are time-major: [T, B, ...].
+with the recurrent matrix.  Arrays are time-major: [T, B, ...], or where it is
+said [labels, T, B].
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from quaestor.llm import lstm_onnx
+
 
 def _sig(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
@@ -26,6 +29,7 @@ class BiLstmCrf:
         self.p = params
         self.h = params["wf"].shape[0]
         self.k = params["bo"].shape[0]
+        self.fast: lstm_onnx.Emissions | None = None  # for searches; training changes the weights
 
     @classmethod
     def fresh(cls, symbols: int, hidden: int, labels: int, seed: int = 0) -> "BiLstmCrf":
@@ -91,23 +95,59 @@ class BiLstmCrf:
         hidden = np.concatenate([f, b], axis=2)
         return hidden @ self.p["wo"] + self.p["bo"], hidden, tf, tb
 
+    def scores(self, ids, mask):
+        """Emissions as [labels, T, B], by ONNX Runtime where it is installed."""
+        if self.fast is None and lstm_onnx.runtime():
+            self.fast = lstm_onnx.Emissions(self.p)
+        return self.fast(ids, mask) if self.fast else self.emissions(ids, mask)[0].transpose(2, 0, 1)
+
+    def outside(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Windows whose best path is sure to stay at label 0; e: [labels, T, B].
+
+        A way out of label 0 and back gains at most `enter` where it leaves, `go` for each further place and `back`
+        where it returns, each the most over all labels.  Where no such way gains anything, none is in the best path.
+        """
+        tr = self.p["tr"] - self.p["tr"][0, 0]
+        st = self.p["st"] - self.p["st"][0]
+        on, back, slack = tr[1:].max(0), tr[1:, 0].max(), 1e-3  # more than rounding can add up to
+        enter = go = first = -np.inf
+        for own in (slice(1, None, 2), slice(2, None, 2)):  # bounded together: labels that begin, labels that continue
+            d = e[own].max(0)
+            d -= e[0]
+            enter = np.maximum(enter, d + tr[0, own].max())
+            go = np.maximum(go, d + on[own].max())
+            first = np.maximum(first, d[0] + st[own].max())
+        gain = enter  # of the best way that is outside at t
+        gain[0] = first
+        for t in range(1, len(gain)):
+            np.maximum(gain[t], np.add(gain[t - 1], go[t], out=go[t]), out=gain[t])
+        last = gain[mask.sum(0) - 1, np.arange(mask.shape[1])]  # where the window ends nothing leads back
+        return (np.where(mask, gain, -np.inf).max(0) + back < -slack) & (last < -slack)
+
     def decode(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Most likely label of every position, [T, B]; meaningless where mask is 0."""
-        e = self.emissions(ids, mask)[0]
-        t_n, b, k = e.shape
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))
-        best = np.empty((t_n, k, b), np.float32)
-        best[0] = self.p["st"][:, None] + e[0]
+        return self.paths(self.emissions(ids, mask)[0].transpose(2, 0, 1), mask)
+
+    def paths(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Best paths for emissions [labels, T, B]."""
+        k, t_n, b = e.shape
+        best = np.ascontiguousarray(e.transpose(1, 0, 2))
+        best[0] += self.p["st"][:, None]
         tr = self.p["tr"][:, :, None]
+        whole = mask.all(1)
+        ways, top = np.empty((k, k, b), np.float32), np.empty((k, b), np.float32)  # [from, to, B]
         for t in range(1, t_n):
-            new = (best[t - 1][:, None] + tr).max(0) + e[t]  # [from, to, B]
-            best[t] = np.where(mask[t], new, best[t - 1])
+            np.add(best[t - 1][:, None], tr, out=ways).max(0, out=top)
+            best[t] += top
+            if not whole[t]:
+                np.copyto(best[t], best[t - 1], where=~mask[t])
         path = np.zeros((t_n, b), np.int8)
         cur = best[-1].argmax(0)
         for t in range(t_n - 1, -1, -1):
             path[t] = cur
             if t:  # where the best way to a label came from is asked for the labels of the path only
-                cur = np.where(mask[t], (best[t - 1] + self.p["tr"][:, cur]).argmax(0), cur)
+                np.add(best[t - 1], self.p["tr"].take(cur, axis=1), out=top)
+                cur = top.argmax(0) if whole[t] else np.where(mask[t], top.argmax(0), cur)
         return path
 
     def loss_and_grads(self, ids, mask, gold):

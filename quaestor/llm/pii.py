@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,40 +35,53 @@ _FOUND = T.StructType([
 CHUNK_CHARS = 400_000
 
 
-def _scan(texts: list, with_text: bool) -> list:
-    from quaestor.llm.pii_model import KINDS, find, tagger, value
+def _spans(texts: list) -> list[list[tuple[int, int, int]]]:
+    """Finds of each text as (start, end, kind)."""
+    from quaestor.llm.pii_model import find, tagger
 
     model = tagger()
-    out: list = [None] * len(texts)
+    out: list = [[] for _ in texts]
     chunk: list[int] = []
     size = 0
-
-    def flush() -> None:
-        for i, spans in zip(chunk, find([texts[i] for i in chunk], model)):
-            text = texts[i]
-            masked = None
-            if with_text:
-                parts, at = [], 0
-                for a, b, kind in spans:
-                    parts += [text[at:a], f"[{KINDS[kind].upper()}]"]
-                    at = b
-                masked = "".join(parts) + text[at:]
-            out[i] = {"masked": masked, "finds": [{"kind": KINDS[k], "pii_value": value(text[a:b], k), "start": a, "end": b} for a, b, k in spans]}
-
     for i, text in enumerate(texts):
-        if text is None:
-            out[i] = {"masked": None, "finds": []}
-            continue
-        chunk.append(i)
-        size += len(text)
-        if size >= CHUNK_CHARS:
-            flush()
+        if text is not None:
+            chunk.append(i)
+            size += len(text)
+        if chunk and (size >= CHUNK_CHARS or i == len(texts) - 1):
+            for k, spans in zip(chunk, find([texts[k] for k in chunk], model)):
+                out[k] = spans
             chunk, size = [], 0
-    if chunk:
-        flush()
     return out
 
 
+def _scan(texts: list, with_text: bool) -> list:
+    from quaestor.llm.pii_model import KINDS, value
+
+    out: list = []
+    for text, found in zip(texts, _spans(texts)):
+        masked = None
+        if with_text and text is not None:
+            parts, at = [], 0
+            for a, b, kind in found:
+                parts += [text[at:a], f"[{KINDS[kind].upper()}]"]
+                at = b
+            masked = "".join(parts) + text[at:]
+        out.append({"masked": masked, "finds": [{"kind": KINDS[k], "pii_value": value(text[a:b], k), "start": a, "end": b} for a, b, k in found]})
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to a row for each different find of a text."""
+    from quaestor.llm.pii_model import KINDS, value
+
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        found = [(i, *x) for i, spans in enumerate(_spans(texts)) for x in dict.fromkeys((k, value(texts[i][a:b], k)) for a, b, k in spans)]
+        at = pa.array([i for i, _, _ in found], pa.int64())
+        kinds = pa.array([KINDS[k] for _, k, _ in found], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), kinds, pa.array([x for _, _, x in found], pa.string())], ["key", "kind", "pii_value"])
+
+
 def _scanner(with_text: bool):
     @F.pandas_udf(_FOUND)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -85,7 +99,7 @@ def find_pii(docs: DataFrame, text: str = "text", masked: bool = True) -> DataFr
 
 def pii_finds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (key, kind, pii_value)."""
-    # Fewer columns reach Python; distinct per document, so the shuffle carries finds only.
-    found = find_pii(docs.select(key, text).where(F.length(text) > 0), text, masked=False)
-    one = F.explode(F.array_distinct(F.transform("finds", lambda x: F.struct(x["kind"].alias("kind"), x["pii_value"].alias("pii_value")))))
-    return found.select(key, one.alias("_f")).select(key, "_f.kind", "_f.pii_value").distinct()
+    # Only finds leave Python and are shuffled, each once a document.
+    own = spread(docs.select(key, text).where(F.length(text) > 0))
+    out = T.StructType([T.StructField("key", own.schema[0].dataType), T.StructField("kind", T.StringType()), T.StructField("pii_value", T.StringType())])
+    return own.mapInArrow(_rows, out).withColumnRenamed("key", key).distinct()

@@ -106,6 +106,15 @@ class Gate:
         return np.flatnonzero(self.score(ids) >= self.least)
 
 
+def _cut(a: int, b: int) -> list[tuple[int, int]]:
+    """One stretch as overlapping windows."""
+    out = []
+    while b - a > WINDOW:
+        out.append((a, a + WINDOW))
+        a += WINDOW - OVERLAP
+    return [*out, (a, b)]
+
+
 def _laid(hits: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Windows around the given characters of a text of n, long stretches cut into overlapping windows."""
     if not len(hits):
@@ -113,11 +122,7 @@ def _laid(hits: np.ndarray, n: int) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(hits) > 2 * MARGIN) + 1
     out = []
     for a, b in zip(hits[np.r_[0, edge]].tolist(), hits[np.r_[edge - 1, len(hits) - 1]].tolist()):
-        a, b = max(0, a - MARGIN), min(n, b + 1 + MARGIN)
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
-        out.append((a, b))
+        out += _cut(max(0, a - MARGIN), min(n, b + 1 + MARGIN))
     return out
 
 
@@ -130,11 +135,15 @@ def windows(texts: list[str], own: Gate | None = None) -> tuple[np.ndarray, list
     The windows cover every character, or with a gate of its own what that lets through.
     """
     ids = symbols(_APART.join(texts))
-    hits = own.hits(ids) if own else np.arange(len(ids))
+    hits = own.hits(ids) if own else None
     out, start = [], 0
     for k, text in enumerate(texts):
-        a, b = np.searchsorted(hits, (start, start + len(text)))
-        out += [(k, x, y, start) for x, y in _laid(hits[a:b] - start, len(text))]
+        if hits is None:
+            laid = _cut(0, len(text)) if text else []
+        else:
+            a, b = np.searchsorted(hits, (start, start + len(text)))
+            laid = _laid(hits[a:b] - start, len(text))
+        out += [(k, x, y, start) for x, y in laid]
         start += len(text) + len(_APART)
     return ids, out
 
@@ -144,22 +153,36 @@ def tagger(path: str = WEIGHTS) -> BiLstmCrf:
     return BiLstmCrf.load(path)
 
 
-def tag_windows(model: BiLstmCrf, pieces: list[np.ndarray], batch: int = 384) -> list[np.ndarray]:
-    """Labels of each window; windows of like length share a batch."""
-    order = np.argsort([len(x) for x in pieces], kind="stable")
-    out: list = [None] * len(pieces)
-    for at in range(0, len(order), batch):
-        own = order[at : at + batch]
-        longest = max(len(pieces[i]) for i in own)
+def _tagged(model: BiLstmCrf, pieces: list[np.ndarray], batch: int = 512) -> dict[int, np.ndarray]:
+    """Labels of the windows that are not sure to lie outside as a whole; windows of like length share a batch."""
+    lens = np.array([len(x) for x in pieces])
+    order = np.argsort(-lens, kind="stable")
+    left: list[int] = []  # these windows, and their emissions
+    rest = []
+    for own in np.array_split(order, -(-len(order) // batch)) if len(order) else []:
+        longest = lens[own[0]]
         ids = np.zeros((longest, len(own)), np.int16)
-        mask = np.zeros((longest, len(own)), bool)
-        for j, i in enumerate(own):
-            ids[: len(pieces[i]), j] = pieces[i]
-            mask[: len(pieces[i]), j] = True
-        path = model.decode(ids, mask)
-        for j, i in enumerate(own):
-            out[i] = path[: len(pieces[i]), j]
-    return out
+        mask = np.arange(longest)[:, None] < lens[own]
+        ids.T[mask.T] = np.concatenate([pieces[i] for i in own])
+        e = model.scores(ids, mask)
+        may = np.flatnonzero(~model.outside(e, mask))
+        left += own[may].tolist()
+        rest.append(e[:, :, may])
+    if not left:
+        return {}
+    e = np.zeros((model.k, max(x.shape[1] for x in rest), len(left)), np.float32)
+    at = 0
+    for x in rest:
+        e[:, : x.shape[1], at : at + x.shape[2]] = x
+        at += x.shape[2]
+    path = model.paths(e, np.arange(e.shape[1])[:, None] < lens[left])
+    return {i: path[: lens[i], j] for j, i in enumerate(left)}
+
+
+def tag_windows(model: BiLstmCrf, pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """Labels of each window."""
+    got = _tagged(model, pieces)
+    return [got[i] if i in got else np.zeros(len(x), np.int8) for i, x in enumerate(pieces)]
 
 
 _RUN = {
@@ -262,17 +285,17 @@ def find(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, int]]]
     character, the label of the window in which it lies farther from an edge counts.
     """
     ids, spots = windows(texts)
-    where = [(k, a, b) for k, a, b, _ in spots]
-    pieces = [ids[s + a : s + b] for _, a, b, s in spots]
+    tagged = _tagged(model, [ids[s + a : s + b] for _, a, b, s in spots])
     labels: dict[int, np.ndarray] = {}
     reach: dict[int, np.ndarray] = {}
-    for (k, a, b), got in zip(where, tag_windows(model, pieces)):
-        if not got.any() and k not in labels:
-            continue
+    for i, (k, a, b, _) in enumerate(spots):
+        got = tagged.get(i)
         if k not in labels:
+            if got is None or not got.any():
+                continue
             labels[k], reach[k] = np.zeros(len(texts[k]), np.int8), np.zeros(len(texts[k]), np.int16)
         far = np.minimum(np.arange(b - a), np.arange(b - a)[::-1]).astype(np.int16) + 1
         better = far > reach[k][a:b]
-        labels[k][a:b][better] = got[better]
+        labels[k][a:b][better] = 0 if got is None else got[better]
         reach[k][a:b][better] = far[better]
     return [spans_of(t, labels[k]) if k in labels else [] for k, t in enumerate(texts)]
